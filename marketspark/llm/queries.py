@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketspark.llm import mixing, packing, sharding
+from marketspark.llm import mixing, packing, sharding, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_array_dedup": suffix_dedup.query,
     "op6_source_mixing": mixing.query,
     "op7_uniform_sharding": sharding.query,
     "op10_best_fit_packing": packing.query,
