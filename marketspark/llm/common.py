@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of bytes outside of these: [^\x20\x09-\x0D]+
 WHITE = np.zeros(256, bool)
@@ -157,3 +158,8 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(at.lower())
         out.append(at)
     return out
+
+
+def extended(schema: T.StructType, **more: str) -> T.StructType:
+    """schema with more fields (DDL types), leaving the given one alone."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in more.items())).fields])
