@@ -103,13 +103,15 @@ def pieces(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]
         lo = hi
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and documents (index) of the words. Words never cross documents."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and documents (index) of the words, or of the runs of bytes for which `solid` holds. None crosses
+    documents."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    solid = ~WHITE[data]
+    if solid is None:
+        solid = ~WHITE[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     before = np.empty(n, bool)

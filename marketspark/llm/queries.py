@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketspark.llm import language_id, mixing, ngram_join, packing, quality_rules, sharding, suffix_dedup
+from marketspark.llm import language_id, mixing, ngram_join, packing, quality_rules, sharding, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": suffix_dedup.query,
     "op3_quality_rules": quality_rules.query,
     "op4_ngram_jaccard_join": ngram_join.query,
+    "op5_toxicity": toxicity.query,
     "op6_source_mixing": mixing.query,
     "op7_uniform_sharding": sharding.query,
     "op8_language_id": language_id.query,
