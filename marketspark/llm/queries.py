@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketspark.llm import language_id, mixing, ngram_join, packing, quality_rules, sharding, suffix_dedup, toxicity
+from marketspark.llm import language_id, mixing, ngram_join, packing, ppm, quality_rules, sharding, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": suffix_dedup.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": mixing.query,
     "op7_uniform_sharding": sharding.query,
     "op8_language_id": language_id.query,
+    "op9_ppm_scoring": ppm.query,
     "op10_best_fit_packing": packing.query,
 }
 
