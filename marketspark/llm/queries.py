@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketspark.llm import language_id, mixing, ngram_join, packing, ppm, quality_rules, sharding, suffix_dedup, toxicity
+from marketspark.llm import language_id, media, mixing, ngram_join, packing, ppm, quality_rules, sharding, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_copies": media.query,
     "op2_suffix_array_dedup": suffix_dedup.query,
     "op3_quality_rules": quality_rules.query,
     "op4_ngram_jaccard_join": ngram_join.query,

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import LOWER, WHITE, batches, documents, extended, fold, mix, per_document, span_hashes, word_spans
+from marketspark.llm.common import LOWER, WHITE, batches, documents, extended, fold, fresh, mix, per_document, span_hashes, word_spans
 
 #: Labelled rows that the model learns from, at most: the first by a hash of doc_id.
 SAMPLE = 40_000
@@ -272,17 +272,24 @@ def _featured(df: DataFrame, model: Model) -> DataFrame:
     return df.select("text", *names).mapInArrow(run, extended(df.select(*names).schema, **dict.fromkeys(FEATURES, "double")))
 
 
-def scored(df: DataFrame, model: Model) -> DataFrame:
+def scored(df: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
     """df with score double and predicted int (1 if score >= 0.5). A null text is empty; columns of df with these names are
     replaced; an empty table stays empty."""
-    df = df.drop("score", "predicted")
+    df = df.drop(score, predicted)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in batches(it):
             s = model.score(features(data, offsets, model))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*batch.schema.names, score, predicted])
 
-    return df.mapInArrow(run, extended(df.schema, score="double", predicted="int"))
+    return df.mapInArrow(run, extended(df.schema, **{score: "double", predicted: "int"}))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs, as they are, without those that a model learned from their labelled ones calls toxic."""
+    score, predicted = fresh(docs, "score", "predicted")
+    out = scored(docs, fit(docs, labels), score, predicted)
+    return out.where(F.col(predicted) == 0).drop(score, predicted)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
