@@ -31,7 +31,7 @@ BITS = 9
 EDGE = 256
 SYMBOLS = 257
 #: Strings of a slice of the trie, and words of the broadcast table, at most.
-TRIE = 4 << 20
+TRIE = 3 << 20
 HEAD = 1 << 20
 #: The hash that stands for a text's end among the words.
 END = np.uint64(0x1D8E4E27C47D124F)
@@ -225,9 +225,10 @@ def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    t = df.toPandas()
-    order = np.argsort(t["key"].to_numpy())
-    return t["key"].to_numpy(np.int64)[order], t["n"].to_numpy(np.int64)[order]
+    t = df.toArrow()  # as Arrow columns: no Python object for a row
+    key, n = t.column("key").to_numpy(), t.column("n").to_numpy()
+    order = np.argsort(key)
+    return key[order], n[order]
 
 
 def score(docs: DataFrame, train: DataFrame, order: int = ORDER, trie: int = TRIE, head: int = HEAD) -> DataFrame:
