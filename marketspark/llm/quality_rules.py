@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **more) -> lis
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = statistics(docs.select("doc_id", "text").join(F.broadcast(one), "doc_id")).drop("text")  # `sample` rows at most
-    rows = rows.where(~base_failed()).toPandas().sort_values(["doc_id", *COUNTS], kind="stable")
+    rows = rows.where(~base_failed()).toArrow().to_pandas().sort_values(["doc_id", *COUNTS], kind="stable")
     if rows.empty:
         return []
     x = {k: rows[k].to_numpy(np.float64) for k in SHARES}

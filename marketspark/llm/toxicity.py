@@ -244,11 +244,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         ll = 2 * (a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0))
         odds = F.log(((a + 0.5) / (na + 1)) / ((b + 0.5) / (nb + 1)))
         table = first.select("text", (F.col("toxic") == 1).cast("long").alias("toxic")).mapInArrow(counted, "term long, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        got = table.where("a >= 3").withColumn("ll", ll).withColumn("odds", odds).where("ll >= 24 and odds >= 2.5").orderBy(F.desc("ll"), "term").limit(ENTRIES).toPandas()
+        got = table.where("a >= 3").withColumn("ll", ll).withColumn("odds", odds).where("ll >= 24 and odds >= 2.5").orderBy(F.desc("ll"), "term").limit(ENTRIES).toArrow().to_pandas()
         h = got["term"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(h)
         model.entries, model.weights = h[order], got["odds"].to_numpy(np.float64)[order]
-    rest = _featured(rows.where("part >= 6"), model).toPandas().sort_values([*FEATURES, "toxic"], kind="stable")
+    rest = _featured(rows.where("part >= 6"), model).toArrow().to_pandas().sort_values([*FEATURES, "toxic"], kind="stable")
     x, y, part = rest[list(FEATURES)].to_numpy(np.float64), (rest["toxic"] == 1).to_numpy(np.float64), rest["part"].to_numpy()
     trees, held = part < 9, part >= 9
     if not len(y) or min(y[trees].sum(), trees.sum() - y[trees].sum()) < 8:
