@@ -32,7 +32,9 @@ EDGE = 256
 SYMBOLS = 257
 #: Strings of a slice of the trie, and words of the broadcast table, at most.
 TRIE = 3 << 20
-HEAD = 1 << 20
+HEAD = 1 << 19
+#: Bytes of text that a task works on at a time: its arrays are some hundred times as large.
+PIECE = 1 << 19
 #: The hash that stands for a text's end among the words.
 END = np.uint64(0x1D8E4E27C47D124F)
 
@@ -68,7 +70,7 @@ class Table:
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys.astype(np.int64)
-        self.size = 1 << max(4, int(2 * len(keys)).bit_length())
+        self.size = 1 << max(4, int(1.4 * len(keys)).bit_length())
         self.slots = np.full(self.size, -1, np.int32)
         left, at = np.arange(len(keys)), self._home(self.keys)
         while len(left):
@@ -79,7 +81,6 @@ class Table:
             rest = np.ones(len(left), bool)
             rest[first] = False
             left, at = left[rest], (at[rest] + 1) & (self.size - 1)
-        self.values = np.append(self.keys, np.int64(-1))[self.slots]
 
     def _home(self, x: np.ndarray) -> np.ndarray:
         return ((x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (self.size - 1)
@@ -88,11 +89,14 @@ class Table:
         """Position of each key; -1 where it isn't there."""
         at = self._home(x)
         out = self.slots[at]
-        todo = np.flatnonzero((self.values[at] != x) & (out >= 0))
+        if not len(self.keys):
+            return out
+        todo = np.flatnonzero((self.keys[out] != x) & (out >= 0))
         while len(todo):
             at[todo] = (at[todo] + 1) & (self.size - 1)
-            out[todo] = self.slots[at[todo]]
-            todo = todo[(out[todo] >= 0) & (self.values[at[todo]] != x[todo])]
+            got = self.slots[at[todo]]
+            out[todo] = got
+            todo = todo[(got >= 0) & (self.keys[got] != x[todo])]
         return out
 
 
@@ -204,7 +208,7 @@ def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 part = slice(lo, lo + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[part]), kind, np.int32)), pa.array(k[part]), pa.array(n[part])], ["kind", "key", "n"])
 
-        for _, data, offsets in batches(it):
+        for _, data, offsets in batches(it, most=PIECE):
             h, doc = words(data, offsets)
             h = np.append(h, np.full(len(offsets) - 1, END)).view(np.int64)
             for kind, x in ((0, strings(data, offsets, order)[0]), (1, h)):
@@ -212,10 +216,10 @@ def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 got[kind][0].append(k)
                 got[kind][1].append(n)
                 size[kind] += len(k)
-                if size[kind] > 4 << 20:
+                if size[kind] > 2 << 20:
                     k, n = summed(*got[kind])
                     got[kind][0][:], got[kind][1][:], size[kind] = [k], [n], len(k)
-                    if len(k) > 2 << 20:
+                    if len(k) > 1 << 20:
                         yield from flush(kind)
         for kind in (0, 1):
             if got[kind][0]:
@@ -265,7 +269,7 @@ def score(docs: DataFrame, train: DataFrame, order: int = ORDER, trie: int = TRI
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = TaskContext.get().partitionId() << 40
             trie_ = model.value
-            for batch, data, offsets in batches(it):
+            for batch, data, offsets in batches(it, most=PIECE):
                 n = len(offsets) - 1
                 g, begin = strings(data, offsets, order)
                 if slices > 1:
