@@ -6,6 +6,7 @@ Texts are handled as the UTF-8 buffers that Arrow hands over, so no Python strin
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner find the shuffle files of steps that are written and no longer referred to, before the next
+    step writes its own."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -141,12 +149,12 @@ def per_document(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def batches(it: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def batches(it: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches of bounded size, with the text column's bytes and offsets."""
     for batch in it:
         at = batch.schema.get_field_index(text)
         data, offsets = byte_view(batch.column(at))
-        for lo, hi in pieces(offsets):
+        for lo, hi in pieces(offsets, most):
             yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 

@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import LOWER, batches, documents, extended, fresh, mix, partitions, span_hashes, stored, word_spans
+from marketspark.llm.common import LOWER, batches, documents, extended, fresh, mix, partitions, release, span_hashes, stored, word_spans
 
 #: Nodes of a cell.
 CELL = 1024
@@ -207,7 +207,8 @@ def classified(df: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """
     docs = df.select("doc_id", "text")
     rows = stored(nodes(docs, "node", n).drop("text"))
-    tied = components(links(docs, rows, n, percent))
+    tied = components(stored(links(docs, rows, n, percent)))
+    release(docs.sparkSession)
     rows = rows.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = rows.where("node is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     rows = rows.join(first, "root", "left")
@@ -301,8 +302,9 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
         for lo in range(0, int(keep.sum()), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(a[keep][lo : lo + (1 << 16)]), pa.array(r[keep][lo : lo + (1 << 16)])], ["u", "v"])
 
-    keys = docs.select("text").mapInArrow(keyed, "key long, node long")
-    loose = components(keys.repartition(parts, "key").mapInArrow(meet, "u long, v long"))
+    met = stored(docs.select("text").mapInArrow(keyed, "key long, node long").repartition(parts, "key").mapInArrow(meet, "u long, v long"))
+    release(spark)
+    loose = components(met)
     # One document of each node in a loose group, with its set.
     groups = loose.select("node", F.col("root").alias("grp"))
     chosen = rows.join(groups, "node").groupBy("node", "grp").agg(F.min("doc_id").alias("doc_id")).select("node", "grp", _id("doc_id").alias("id"))
@@ -318,6 +320,8 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(ok, pa.int64())), pa.array(band), batch.column(1).take(pa.array(ok, pa.int64())), pa.array([sets[i].tobytes() for i in ok], pa.binary())], ["grp", "band", "node", "items"])
 
     found = stored(texts.mapInArrow(laid, "grp long, band int, node long, items binary"))
+    del texts, chosen, groups
+    release(spark)
     counts = found.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("n"))
     total = counts.groupBy("grp").agg(F.sum("n").alias("all"))
     # A group of a cell's size at most is one tile; others have a tile for each pair of cells of one band or of two
