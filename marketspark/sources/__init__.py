@@ -1 +1 @@
-
+"""Sources and sinks: captured tables, config files, exports, upserts at rest."""
