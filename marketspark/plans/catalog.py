@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketspark.plans import relational
+from marketspark.plans import relational, timeseries
 from marketspark.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "relational"]
+__all__ = ["ORACLE_SQL", "QUERIES", "relational", "timeseries"]
