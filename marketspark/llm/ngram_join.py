@@ -3,7 +3,8 @@
 Equal sets are one node. A node of size s can only link to sizes between 0.9 s and s / 0.9, so sizes fall into bands of
 that ratio and a node meets its own band and the two beside it (a tile is two bands). Two sets of a tile that link differ in
 d shingles at most. Dealt by hash into more than d parts, one part at least is the same in both: the parts' hashes are the
-keys by which sets come together, without a cap. Keys tie nodes into loose groups; within a group, cells of bounded size
+keys by which sets come together, without a cap. Of the nodes that share a key, sizes and bit counts rule out pairs; the
+others tie nodes into loose groups; within a group, cells of bounded size
 (a band, or a share of one) are compared pair by pair: the bits of hashed bitmaps that one set has and the other lacks bound
 the overlap from above, and what passes is settled by intersecting the sorted arrays. Nodes that are tied already are not
 compared again. Links found tie components; each round of contraction is written to the shared folder.
@@ -24,6 +25,8 @@ from marketspark.llm.common import LOWER, batches, documents, extended, fresh, m
 
 #: Nodes of a cell.
 CELL = 1024
+#: Nodes of a batch that share a key one by one; beyond, one stands for them.
+HOT = 1000
 #: A part of fewer shingles says little; it is a key only for sets that have too many of them.
 WEAK = 3
 
@@ -206,10 +209,10 @@ def classified(df: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     gives no rows. No cap on partners: every link between different texts counts.
     """
     docs = df.select("doc_id", "text")
-    rows = stored(nodes(docs, "node", n).drop("text"))
+    rows = stored(nodes(docs, "node", n, "bits").drop("text"))
     tied = components(stored(links(docs, rows, n, percent)))
     release(docs.sparkSession)
-    rows = rows.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rows.drop("bits").join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = rows.where("node is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     rows = rows.join(first, "root", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -241,20 +244,60 @@ def query(spark, sf_dir: str) -> DataFrame:
     return digest(documents(spark, sf_dir))
 
 
-def nodes(df: DataFrame, name: str, n: int) -> DataFrame:
-    """df with n_shingles and the node's key (null: no shingle)."""
+def nodes(df: DataFrame, name: str, n: int, bits: str | None = None) -> DataFrame:
+    """df with n_shingles and the node's key (null: no shingle), and its bitmap where a column is named for it."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in batches(it):
             sets = shingles(data, offsets, n)
             sizes = np.array([len(s) for s in sets], np.int64)
             keys = np.array([node_of(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), pa.array(keys, mask=sizes == 0)], [*batch.schema.names, "n_shingles", name])
+            out = [*batch.columns, pa.array(sizes), pa.array(keys, mask=sizes == 0)]
+            if bits:
+                out.append(pa.array([bitmap(s).tobytes() for s in sets], pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, [*batch.schema.names, "n_shingles", name, *([bits] if bits else [])])
 
-    schema = extended(df.schema, **{"n_shingles": "long", name: "long"})
+    schema = extended(df.schema, **{"n_shingles": "long", name: "long"}, **({bits: "binary"} if bits else {}))
     return df.mapInArrow(run, schema)
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A bit a shingle or more, 2 ** 16 at most: a power of two of them, so that two maps can be folded to one length."""
+    m = min(1 << max(6, int(len(s) - 1).bit_length() if len(s) else 6), 1 << 16)
+    words = np.zeros(m // 64, np.uint64)
+    place = (mix(s ^ np.uint64(0x8EBC6AF09C88C6E3)) & np.uint64(m - 1)).astype(np.int64)
+    np.bitwise_or.at(words, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+    return words
+
+
+def plausible(size: np.ndarray, maps: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of a key's nodes whose sizes and bit counts allow a link, enough to tie what they tie."""
+    order = np.argsort(size, kind="stable")
+    size, maps = size[order], [maps[i] for i in order]
+    length = np.array([len(m) for m in maps])
+    grids = {L: (np.flatnonzero(length == L), np.stack([m for m in maps if len(m) == L])) for L in np.unique(length)}
+    root, u, v = np.arange(len(size)), [], []
+    for i in range(len(size) - 1):
+        for L in (length[i], 2 * length[i]):
+            if L not in grids:
+                continue
+            j, grid = grids[L]
+            ok = (j > i) & (root[j] != root[i]) & (size[j] * percent <= size[i] * 100)
+            if not ok.any():
+                continue
+            j, grid = j[ok], grid[ok]
+            if L > length[i]:
+                grid = grid[:, : L // 2] | grid[:, L // 2 :]
+            most = np.minimum(size[i] - np.bitwise_count(maps[i] & ~grid).sum(1, dtype=np.int64), size[j] - np.bitwise_count(grid & ~maps[i]).sum(1, dtype=np.int64))
+            for k in j[(100 + percent) * most >= percent * (size[i] + size[j])]:
+                if root[k] != root[i]:
+                    u.append(i)
+                    v.append(k)
+                    a, b = sorted((root[i], root[k]))
+                    root[root == b] = a
+    return order[np.array(u, np.int64)], order[np.array(v, np.int64)]
+
+
 def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (u, v) between nodes: enough to tie every component. rows: doc_id and node of docs."""
     spark = docs.sparkSession
@@ -273,17 +316,20 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
             key, node = np.concatenate(key or [np.zeros(0, np.int64)]), np.concatenate(node or [np.zeros(0, np.int64)])
             if not len(key):
                 continue
-            # Nodes of the batch that share a key: the smallest stands for them under that key, and a key of their own ties
-            # them, so that a key shared by many takes a row a batch.
             order = np.lexsort((node, key))
             k, v = key[order], node[order]
             same = np.zeros(len(k), bool)
             same[1:] = k[1:] == k[:-1]
-            lead = np.maximum.accumulate(np.where(~same, np.arange(len(k)), 0))
-            a, r = smallest(v[same], v[lead[same]])
+            first = np.flatnonzero(~same)
+            count = np.diff(np.append(first, len(k)))
+            hot = np.repeat(count > HOT, count)
+            # A key that many of the batch's nodes share: the smallest stands for them under it, and a key of their own ties
+            # them, so that it takes a row a batch. Such rows are marked: what they stand for is compared later.
+            member = hot & same
+            a, r = smallest(v[member], np.repeat(v[first], count)[member])
             tie = mix(r.view(np.uint64) + np.uint64(0x589965CC75374CC3)).view(np.int64)
-            keys = np.concatenate([k[~same], tie])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([v[~same], a]))], ["key", "node"])
+            mark = np.concatenate([hot[~member], np.ones(len(tie), bool)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k[~member], tie])), pa.array(np.concatenate([v[~member], a])), pa.array(mark)], ["key", "node", "mark"])
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(it)
@@ -291,20 +337,53 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
             return
         key = np.concatenate([b.column(0).to_numpy() for b in got])
         node = np.concatenate([b.column(1).to_numpy() for b in got])
+        mark = np.concatenate([b.column(2).to_numpy(zero_copy_only=False) for b in got])
         del got
-        order = np.argsort(key)
-        key, node = key[order], node[order]
+        order = np.lexsort((node, key))
+        key, node, mark = key[order], node[order], mark[order]
         same = np.zeros(len(key), bool)
         same[1:] = key[1:] == key[:-1]
-        lead = np.maximum.accumulate(np.where(~same, np.arange(len(key)), 0))
-        a, r = smallest(node[same], node[lead[same]])
-        keep = a != r
-        for lo in range(0, int(keep.sum()), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep][lo : lo + (1 << 16)]), pa.array(r[keep][lo : lo + (1 << 16)])], ["u", "v"])
-
-    met = stored(docs.select("text").mapInArrow(keyed, "key long, node long").repartition(parts, "key").mapInArrow(meet, "u long, v long"))
+        # Keys of several nodes; keys of the same nodes are one.
+        first = np.flatnonzero(~same)
+        new = np.ones(len(key), bool)
+        new[1:] = ~same[1:] | (node[1:] != node[:-1])
+        count = np.add.reduceat(new.astype(np.int64), first)
+        members = np.add.reduceat(np.where(new, mix(node.view(np.uint64)), np.uint64(0)), first)
+        marked = np.maximum.reduceat(mark, first)
+        members += marked.astype(np.uint64)
+        several = np.flatnonzero(count > 1)
+        several = several[np.unique(members[several], return_index=True)[1]]
+        block = np.cumsum(~same) - 1
+        keep = new & np.isin(block, several)
+        key, node, mark = key[keep], node[keep], marked[block[keep]]
+        for lo in range(0, len(key), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(node[part]), pa.array(mark[part])], ["key", "node", "mark"])
+
+    def weigh(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(it)
+        if not got or not sum(b.num_rows for b in got):
+            return
+        t = pa.Table.from_batches(got).combine_chunks()
+        key, node, size = (t.column(k).to_numpy() for k in range(3))
+        mark = t.column(4).to_numpy(zero_copy_only=False)
+        order = np.argsort(key, kind="stable")
+        u, v = [], []
+        for rows_ in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            if len(rows_) > 1 and (mark[rows_[0]] or len(rows_) > 4 * CELL):
+                u.append(node[rows_[1:]])
+                v.append(np.repeat(node[rows_[0]], len(rows_) - 1))
+            elif len(rows_) > 1:
+                a, b = plausible(size[rows_], [np.frombuffer(t.column(3)[int(i)].as_py(), np.uint64) for i in rows_], percent)
+                u.append(node[rows_[a]])
+                v.append(node[rows_[b]])
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+
+    met = stored(docs.select("text").mapInArrow(keyed, "key long, node long, mark boolean").repartition(parts, "key").mapInArrow(meet, "key long, node long, mark boolean"))
     release(spark)
-    loose = components(met)
+    maps = rows.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("bits").alias("bits"))
+    loose = components(met.join(maps, "node").select("key", "node", "n", "bits", "mark").repartition(parts, "key").mapInArrow(weigh, "u long, v long"))
     # One document of each node in a loose group, with its set.
     groups = loose.select("node", F.col("root").alias("grp"))
     chosen = rows.join(groups, "node").groupBy("node", "grp").agg(F.min("doc_id").alias("doc_id")).select("node", "grp", _id("doc_id").alias("id"))
