@@ -22,6 +22,8 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes of text that a task works on at a time; its arrays are some dozen times as large.
+PIECE = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -102,7 +104,7 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0] : o[-1]], o - o[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
     """Ranges of whole documents of about so many bytes, a document at least: bounds the memory of the arrays."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
@@ -149,13 +151,14 @@ def per_document(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def batches(it: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def batches(it: Iterator[pa.RecordBatch], text: str = "text", most: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches of bounded size, with the text column's bytes and offsets."""
     for batch in it:
         at = batch.schema.get_field_index(text)
         data, offsets = byte_view(batch.column(at))
         for lo, hi in pieces(offsets, most):
             yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+    pa.default_memory_pool().release_unused()
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
