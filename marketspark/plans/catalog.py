@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketspark.plans import relational, timeseries
+from marketspark.plans import market, relational, stream, text, timeseries
 from marketspark.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "relational", "timeseries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "market", "relational", "stream", "text", "timeseries"]
