@@ -112,9 +112,9 @@ def resolve(names: DataFrame, key: str, name: str, threshold: float = 0.55) -> D
         return max(jac, 0.9 * both / least) if both / least >= 0.8 and len(a) != len(b) else jac
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(n=pdf[name].str.len()).sort_values(["n", name], ascending=[False, True], kind="stable")
+        pdf = pdf.assign(_n=pdf[name].str.len()).sort_values(["_n", name], ascending=[False, True], kind="stable")
         seeds, out = [], []
-        for text, toks in zip(pdf[name], pdf["k"], strict=True):
+        for text, toks in zip(pdf[name], pdf["_tokens"], strict=True):
             t = set(toks.split())
             hit = next((s for s, st in seeds if similar(st, t) >= threshold), None)
             if hit is None:
@@ -123,5 +123,5 @@ def resolve(names: DataFrame, key: str, name: str, threshold: float = 0.55) -> D
             out.append(hit)
         return pdf.assign(canonical=out)[[key, name, "canonical"]]
 
-    rows = names.select(key, name).where(F.col(name).isNotNull()).distinct().withColumn("k", entity_key(name))
+    rows = names.select(key, name).where(F.col(name).isNotNull()).distinct().withColumn("_tokens", entity_key(name))
     return rows.groupBy(key).applyInPandas(run, f"{key} {names.schema[key].dataType.simpleString()}, {name} string, canonical string")
