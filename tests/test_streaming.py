@@ -29,3 +29,29 @@ def test_dedup_and_dispatch(spark, tmp_path):
     e = spark.read.parquet(f"{SF}/events.parquet")
     dead = [json.loads(line) for p in (tmp_path / "dead").rglob("part-*.json") for line in p.read_text().splitlines()]
     assert counts == {k: e.where(F.col("event_type") == k).count() for k in ("error", "click")} and len(dead) == e.count() - sum(counts.values())
+
+
+def test_keyed_state(spark, tmp_path):
+    from marketspark.plans.catalog import QUERIES
+    from marketspark.streaming import state as Z
+
+    got = E.drain(Z.changes(E.read(spark, SF)), "mem_changes", str(tmp_path / "s"), "append").collect()
+    want = QUERIES["change_state"](spark, SF).collect()
+    assert sorted((r.event_id, r.kind, r.before or "") for r in got) == sorted((r.event_id, r.kind, r.before or "") for r in want)
+    rows = sorted((r.user_id, r.ts, r.event_id, r.event_type) for r in spark.read.parquet(f"{SF}/events.parquet").collect())
+    tokens, at, allowed, run, active, alerts = {}, {}, {}, {}, {}, []
+    for u, ts, i, kind in rows:
+        t = min(2.0, tokens.get(u, 2.0) + ((ts - at[u]).total_seconds() if u in at else 0) / 86400)
+        allowed[i] = t >= 1
+        tokens[u], at[u] = t - allowed[i], ts
+        run[u] = run.get(u, 0) + 1 if kind == "error" else 0
+        if run[u] >= 2 and not active.get(u):
+            active[u] = True
+            alerts.append((i, "ACTIVE"))
+        elif run[u] == 0 and active.get(u):
+            active[u] = False
+            alerts.append((i, "RESOLVED"))
+    bucket = E.drain(Z.token_bucket(E.read(spark, SF), 1 / 86400, 2.0), "mem_bucket", str(tmp_path / "b"), "append").collect()
+    assert {r.event_id: r.allowed for r in bucket} == allowed and not all(allowed.values())
+    fired = E.drain(Z.alert_lifecycle(E.read(spark, SF), 2), "mem_alerts2", str(tmp_path / "a"), "append").collect()
+    assert sorted((r.event_id, r.status) for r in fired) == sorted(alerts) and alerts
