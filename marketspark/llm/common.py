@@ -176,3 +176,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def extended(schema: T.StructType, **more: str) -> T.StructType:
     """schema with more fields (DDL types), leaving the given one alone."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in more.items())).fields])
+
+
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns of these names (whatever the case) under working names, and old -> working name of all."""
+    taken = {n.lower() for n in names}
+    clash = [c for c in df.columns if c.lower() in taken]
+    new = dict(zip(clash, fresh(df, *clash), strict=True))
+    return df.withColumnsRenamed(new), {c: new.get(c, c) for c in df.columns}
+
+
+def put_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns that set_aside() knew, under their own names."""
+    return df.select(*[F.col(f"`{v}`").alias(k) for k, v in names.items()])

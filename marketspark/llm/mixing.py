@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import documents, fresh, stored
+from marketspark.llm.common import documents, fresh, put_back, set_aside, stored
 
 #: What the dynamic programme closes, in words; the share of lengths before it leaves no more than that.
 DP_WORDS = 1 << 16
@@ -128,9 +128,10 @@ def digest(docs: DataFrame, seed: int = 6) -> DataFrame:
 
 def mixed(docs: DataFrame, seed: int = 6) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs."""
+    docs, names = set_aside(docs, ("source_size", "target", "copies"))
     (size,) = fresh(docs, "words")
     out = mix(docs.withColumn(size, words("text")), size, repeating, seed=seed)
-    return out.where("copies > 0").withColumn("copies", F.explode(F.expr("sequence(1, copies)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return put_back(out.where("copies > 0").withColumn("copies", F.explode(F.expr("sequence(1, copies)"))), names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

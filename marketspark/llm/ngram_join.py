@@ -222,13 +222,12 @@ def classified(df: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 def representatives(df: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """df without near copies: of each component the row of the smallest doc_id stays (null last), whole; of rows that are
     equal in doc_id and set, one. Texts without words stay."""
-    node, i = fresh(df, "node", "id")
+    node, i, count = fresh(df, "node", "id", "count")
     rows = classified(df, n, percent).where("node is not null")
     keep = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("k")).select(_id("k.doc_id").alias(i), F.col("k.node").alias(node))
-    every = nodes(df.drop("n_shingles"), node, n).drop("n_shingles").withColumn(i, _id("doc_id"))
+    every = nodes(df, node, n, count=count).withColumn(i, _id("doc_id"))
     some = every.where(F.col(node).isNotNull()).join(keep, [i, node]).dropDuplicates([i, node])
-    out = some.unionByName(every.where(F.col(node).isNull()))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns]) if "n_shingles" not in df.columns else out.drop(node, i)
+    return some.unionByName(every.where(F.col(node).isNull())).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def _id(column: str):
@@ -244,8 +243,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     return digest(documents(spark, sf_dir))
 
 
-def nodes(df: DataFrame, name: str, n: int, bits: str | None = None) -> DataFrame:
-    """df with n_shingles and the node's key (null: no shingle), and its bitmap where a column is named for it."""
+def nodes(df: DataFrame, name: str, n: int, bits: str | None = None, count: str = "n_shingles") -> DataFrame:
+    """df with the number of shingles, the node's key (null: no shingle), and its bitmap where a column is named for it."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in batches(it):
@@ -255,9 +254,9 @@ def nodes(df: DataFrame, name: str, n: int, bits: str | None = None) -> DataFram
             out = [*batch.columns, pa.array(sizes), pa.array(keys, mask=sizes == 0)]
             if bits:
                 out.append(pa.array([bitmap(s).tobytes() for s in sets], pa.binary()))
-            yield pa.RecordBatch.from_arrays(out, [*batch.schema.names, "n_shingles", name, *([bits] if bits else [])])
+            yield pa.RecordBatch.from_arrays(out, [*batch.schema.names, count, name, *([bits] if bits else [])])
 
-    schema = extended(df.schema, **{"n_shingles": "long", name: "long"}, **({bits: "binary"} if bits else {}))
+    schema = extended(df.schema, **{count: "long", name: "long"}, **({bits: "binary"} if bits else {}))
     return df.mapInArrow(run, schema)
 
 

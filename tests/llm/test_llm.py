@@ -453,6 +453,14 @@ def test_media_copies(spark):
     assert media.classes(d.limit(0)).count() == 0
 
 
+def test_stages_keep_clashing_columns(docs):
+    extra = docs.selectExpr("*", "'k' as kept", "'t' as target", "'c' as Copies", "'n' as n_shingles", "'p' as predicted")
+    for stage in (suffix_dedup.cleaned, mixing.mixed, ngram_join.representatives):
+        out = stage(extra)
+        assert out.columns == extra.columns and out.count()
+        assert {tuple(r) for r in out.select("kept", "target", "Copies", "n_shingles").distinct().collect()} == {("k", "t", "c", "n")}
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
