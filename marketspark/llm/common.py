@@ -6,6 +6,8 @@ Texts are handled as the UTF-8 buffers that Arrow hands over, so no Python strin
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -55,6 +57,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Gives memory that a task no longer uses back to the system: Python workers live on for the next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner find the shuffle files of steps that are written and no longer referred to, before the next
     step writes its own."""
@@ -158,7 +168,7 @@ def batches(it: Iterator[pa.RecordBatch], text: str = "text", most: int = PIECE)
         data, offsets = byte_view(batch.column(at))
         for lo, hi in pieces(offsets, most):
             yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-    pa.default_memory_pool().release_unused()
+    tidy()
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
