@@ -472,3 +472,13 @@ def test_pipeline(spark):
             assert d.columns == before.columns
     texts = before.count()
     assert 0 < d.select("doc_id").distinct().count() <= texts
+
+
+def test_media_pairs_of_a_key_are_not_lost():
+    """Images 3 and 4 share keys 7 and 8; smaller images that aren't copies hold one of them each."""
+    k, v = np.array([7, 7, 7, 8, 8, 8]), np.array([1, 3, 4, 2, 3, 4])
+    u, w, hot = media._met(k, v)
+    assert (3, 4) in set(zip(u.tolist(), w.tolist())) and not hot.any()
+    n = media.CELL + 1
+    u, w, hot = media._met(np.zeros(n, np.int64), np.arange(n))
+    assert hot.all() and set(zip(u.tolist(), w.tolist())) == {(i, 0) for i in range(1, n)}
