@@ -482,3 +482,37 @@ def test_media_pairs_of_a_key_are_not_lost():
     n = media.CELL + 1
     u, w, hot = media._met(np.zeros(n, np.int64), np.arange(n))
     assert hot.all() and set(zip(u.tolist(), w.tolist())) == {(i, 0) for i in range(1, n)}
+
+
+def warped(a, degrees, zoom):
+    h, w = a.shape
+    y, x = np.mgrid[: int(h * zoom), : int(w * zoom)]
+    u, v, t = x / zoom - w / 2, y / zoom - h / 2, np.deg2rad(degrees)
+    px, py = np.clip(np.cos(t) * u - np.sin(t) * v + w / 2, 0, w - 1.01), np.clip(np.sin(t) * u + np.cos(t) * v + h / 2, 0, h - 1.01)
+    i, j, fx, fy = px.astype(int), py.astype(int), px % 1, py % 1
+    return (a[j, i] * (1 - fx) + a[j, i + 1] * fx) * (1 - fy) + (a[j + 1, i] * (1 - fx) + a[j + 1, i + 1] * fx) * fy
+
+
+def test_media_recall_against_all_pairs(spark):
+    """Rescaled, turned and noisy copies: the classes are those of copies() over all pairs."""
+    rng = np.random.default_rng(5)
+    items = []
+    for s in range(12):
+        p = picture(100 + s, 160)
+        for _ in range(3):
+            p = media.smooth(p.astype(np.float32))
+        p = np.clip(128 + (p - p.mean()) * 45 / p.std(), 0, 255)
+        items += [p, warped(p, 0, 0.9), warped(p, 0, 1.15), warped(p, 12, 1), warped(p, -8, 1.1), p + rng.normal(0, 25, p.shape)]
+    blobs = [media.encode(x) for x in items]
+    seen = [media.describe(media.decode(x)) for x in blobs]
+    root = list(range(len(seen)))
+    far = 0
+    for i in range(len(seen)):
+        for j in range(i):
+            if media.copies(seen[i], seen[j]):
+                far += len(np.intersect1d(media.table_keys(seen[i][1]), media.table_keys(seen[j][1]))) < 2
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    got = dict(media.classes(spark.createDataFrame(list(enumerate(blobs)), "id long, image binary")).select("id", "class_id").collect())
+    print(f"{far} accepted pairs with fewer than two of the first four keys; {len(set(root))} classes of {len(seen)} images")
+    assert far and got == dict(enumerate(root))
