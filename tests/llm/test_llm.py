@@ -516,3 +516,11 @@ def test_media_recall_against_all_pairs(spark):
     got = dict(media.classes(spark.createDataFrame(list(enumerate(blobs)), "id long, image binary")).select("id", "class_id").collect())
     print(f"{far} accepted pairs with fewer than two of the first four keys; {len(set(root))} classes of {len(seen)} images")
     assert far and got == dict(enumerate(root))
+
+
+def test_media_places_of_large_images(spark):
+    """Beyond 65504 pixels a half-precision place is infinite."""
+    strip, a = np.full((120, 66000), 100.0), picture(21)
+    wide = np.concatenate([strip, a], 1)
+    d = spark.createDataFrame([(1, media.encode(wide)), (2, media.encode(0.9 * a))], "id long, image binary")
+    assert {tuple(r) for r in media.classes(d).select("id", "class_id").collect()} == {(1, 1), (2, 1)}
