@@ -524,3 +524,7 @@ def test_media_places_of_large_images(spark):
     wide = np.concatenate([strip, a], 1)
     d = spark.createDataFrame([(1, media.encode(wide)), (2, media.encode(0.9 * a))], "id long, image binary")
     assert {tuple(r) for r in media.classes(d).select("id", "class_id").collect()} == {(1, 1), (2, 1)}
+
+
+def test_media_pictures_are_80_pixels_wide():
+    assert media.decode(media.draw(b"some words")).shape == (80, 80)
