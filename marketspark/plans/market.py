@@ -201,9 +201,10 @@ def _(spark, d):
     return g.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in (30, 60, 90, 180)]))).select("category", "horizon", F.round(F.col("m") * (1 + 0.0005 * F.col("horizon")), 4).alias("predicted"))
 
 
-def _edges(spark, d):
-    """Competitors that offer a common service, smaller id to greater."""
-    s = services(spark, d).where("service_id % 97 = 0").select("competitor_id", "service_id")
+def _edges(spark, d, which="service_id % 97 = 0"):
+    """Competitors that offer a common service, smaller id to greater. The SQL of the queries held against it (_EDGES) takes
+    the services of the default `which` only."""
+    s = services(spark, d).where(which).select("competitor_id", "service_id")
     a, b = s.select("service_id", F.col("competitor_id").alias("src")), s.select("service_id", F.col("competitor_id").alias("dst"))
     return a.join(b, "service_id").where("src < dst").select("src", "dst").distinct()
 
@@ -231,7 +232,7 @@ def _(spark, d):
 
 @query("influence_scores")
 def _(spark, d):
-    return G.influence(_edges(spark, d))
+    return G.influence(_edges(spark, d, "true"))
 
 
 @query("hidden_pairs", f"""WITH {_EDGES}, s AS (SELECT competitor_id, brand, count(*) n FROM services GROUP BY 1, 2 HAVING count(*) >= 3) SELECT a.competitor_id AS a, b.competitor_id AS b, count(*) AS shared FROM s a JOIN s b ON a.brand = b.brand AND a.competitor_id < b.competitor_id

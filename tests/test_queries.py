@@ -51,3 +51,18 @@ def test_plans_push_down_and_avoid_cartesian(spark):
     assert "PushedFilters: [IsNotNull(o_orderkey), EqualTo(o_orderkey,7)]" in plan and "o_totalprice" not in plan.split("ReadSchema")[1]
     for name in ("summary_multi_left_join", "asof_next_observation", "latest_per_key", "shared_category_pairs"):
         assert "CartesianProduct" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_influence_counts_every_service(spark, duck):
+    """The query has no SQL: held against plain rounds over the links of all services."""
+    links = duck.execute("WITH o AS (SELECT DISTINCT l_suppkey s, l_partkey p FROM lineitem) SELECT DISTINCT a.s, b.s FROM o a JOIN o b ON a.p = b.p AND a.s < b.s").fetchall()
+    nodes = {x for link in links for x in link}
+    out = {a: sum(x == a for x, _ in links) for a in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(20):
+        new = dict.fromkeys(nodes, 0.15 / len(nodes))
+        for a, b in links:
+            new[b] += 0.85 * rank[a] / out[a]
+        rank = new
+    got = {r.node: r.score for r in QUERIES["influence_scores"](spark, SF).collect()}
+    assert got.keys() == rank.keys() and all(abs(got[k] - rank[k]) < 1e-9 for k in rank)
