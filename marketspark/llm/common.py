@@ -41,12 +41,21 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, as in tests, a temporary folder of this machine."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, below the context's checkpoint folder; where there is
+    none either, a local session (tests) takes a temporary folder of this machine, and a cluster is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="marketspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="marketspark-"))
+        base = _own[0]
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
@@ -57,6 +66,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of stored() tables that no later step reads."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def tidy() -> None:
     """Gives memory that a task no longer uses back to the system: Python workers live on for the next task."""
     gc.collect()

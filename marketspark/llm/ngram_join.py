@@ -1,13 +1,17 @@
 """Exact Jaccard self-join on word shingles: size-banded tiles, hashed bitmaps, bit counts, sorted-array intersection.
 
-Equal sets are one node. A node of size s can only link to sizes between 0.9 s and s / 0.9, so sizes fall into bands of
-that ratio and a node meets its own band and the two beside it (a tile is two bands). Two sets of a tile that link differ in
-d shingles at most. Dealt by hash into more than d parts, one part at least is the same in both: the parts' hashes are the
-keys by which sets come together, without a cap. Of the nodes that share a key, sizes and bit counts rule out pairs; the
-others tie nodes into loose groups; within a group, cells of bounded size
-(a band, or a share of one) are compared pair by pair: the bits of hashed bitmaps that one set has and the other lacks bound
-the overlap from above, and what passes is settled by intersecting the sorted arrays. Nodes that are tied already are not
-compared again. Links found tie components; each round of contraction is written to the shared folder.
+Equal sets are one node, with one stored bitmap. A node of size s can only link to sizes between 0.9 s and s / 0.9, so sizes
+fall into bands of that ratio and a node meets its own band and the two beside it (a tile is two bands).
+
+Prefilter: two sets that link, the smaller of them in a tile's lower band, differ in d shingles at most. Dealt by hash into
+more than d parts, one part at least is the same in both: the parts' hashes are the keys by which sets come together,
+without a cap. Keys that bring the same nodes together count once, wherever they were met. Of the nodes that share a key,
+sizes and bit counts rule out pairs; the others tie nodes into loose groups.
+
+Tiles: a group's nodes are dealt into cells of bounded size (a band, or a share of one), and every tile of two cells of one
+band or of neighbouring bands is compared pair by pair: the bits of the stored bitmaps that one set has and the other lacks
+bound the overlap from above, and what passes is settled by intersecting the sorted arrays. Nodes that are tied already are
+not compared again. Links found tie components; each round of contraction is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -17,11 +21,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import LOWER, batches, documents, extended, fresh, mix, partitions, release, span_hashes, stored, word_spans
+from marketspark.llm.common import LOWER, batches, byte_view, discard, documents, extended, fresh, mix, partitions, release, span_hashes, stored, word_spans
 
 #: Nodes of a cell.
 CELL = 1024
@@ -44,9 +47,12 @@ def bands(percent: int, most: int) -> np.ndarray:
 
 
 def tiles(percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each tile (bands t and t + 1): parts, and weak parts that a set may leave out."""
+    """For each tile (bands t and t + 1): parts, and weak parts that a set may leave out.
+
+    A tile answers for the links whose smaller set is in its lower band. With sizes a <= b those differ in
+    (a + b) (1 - p) / (1 + p) shingles at most, and b is a / p at most, which makes a (1 - p) / p."""
     b = bands(percent, most)
-    differ = 2 * (b[2:] - 1) * (100 - percent) // (100 + percent)
+    differ = (b[1:-1] - 1) * (100 - percent) // percent
     spare = differ // 20
     return differ + 1 + spare, spare
 
@@ -164,30 +170,11 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def compare(node: np.ndarray, cell: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between the nodes of a group's two cells (or within one), enough of them to tie every component."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    node, cell, sets = node[order], cell[order], [sets[i] for i in order]
+def compare(node: np.ndarray, cell: np.ndarray, sets: list[np.ndarray], maps: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between the nodes of a tile's two cells (or within one), enough of them to tie every component."""
     size = np.array([len(s) for s in sets], np.int64)
-    bits = 1 << max(8, int(4 * size[-1]).bit_length())
-    bits = min(bits, 1 << 15)
-    words = np.zeros((len(sets), bits // 64), np.uint64)
-    for i, s in enumerate(sets):
-        place = (mix(s ^ np.uint64(0x8EBC6AF09C88C6E3)) & np.uint64(bits - 1)).astype(np.int64)
-        np.bitwise_or.at(words[i], place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
-    within = len(np.unique(cell)) == 1
     root, found = np.arange(len(sets)), []
-    top = np.searchsorted(size * percent, size * 100, "right")
-    for i in range(len(sets)):
-        j = np.arange(i + 1, top[i])
-        j = j[(root[j] != root[i]) & (within | (cell[j] != cell[i]))]
-        if not len(j):
-            continue
-        # Bits of one set that the other lacks are as many shingles at least.
-        lack = np.maximum(size[i] - np.bitwise_count(words[i] & ~words[j]).sum(1, dtype=np.int64), 0)
-        lack2 = size[j] - np.bitwise_count(words[j] & ~words[i]).sum(1, dtype=np.int64)
-        most = np.minimum(lack, lack2)
-        j = j[(100 + percent) * most >= percent * (size[i] + size[j])]
+    for i, j in allowed(size, maps, percent, None if len(np.unique(cell)) == 1 else cell, root):
         for k in j:
             if root[k] == root[i]:
                 continue
@@ -210,7 +197,7 @@ def classified(df: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """
     docs = df.select("doc_id", "text")
     rows = stored(nodes(docs, "node", n, "bits").drop("text"))
-    tied = components(stored(links(docs, rows, n, percent)))
+    tied = components(links(docs, rows, n, percent))
     release(docs.sparkSession)
     rows = rows.drop("bits").join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = rows.where("node is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -269,36 +256,53 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return words
 
 
-def plausible(size: np.ndarray, maps: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of a key's nodes whose sizes and bit counts allow a link, enough to tie what they tie."""
+def allowed(size: np.ndarray, maps: list[np.ndarray], percent: int, cell: np.ndarray | None, root: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): nodes whose sizes and bit counts allow a link, each pair once, leaving out what `root` (which the caller
+    updates between steps) ties already and, with `cell`, pairs within a cell. Bits of one set that the other lacks are as
+    many shingles at least. Maps of twice the length are folded."""
     order = np.argsort(size, kind="stable")
-    size, maps = size[order], [maps[i] for i in order]
+    place = np.empty(len(size), np.int64)
+    place[order] = np.arange(len(size))
     length = np.array([len(m) for m in maps])
-    grids = {L: (np.flatnonzero(length == L), np.stack([m for m in maps if len(m) == L])) for L in np.unique(length)}
-    root, u, v = np.arange(len(size)), [], []
-    for i in range(len(size) - 1):
+    grids = {L: (g := order[length[order] == L], np.stack([maps[k] for k in g])) for L in np.unique(length)}
+    top = np.searchsorted(size[order] * percent, size * 100, "right")
+    for i in order:
         for L in (length[i], 2 * length[i]):
             if L not in grids:
                 continue
             j, grid = grids[L]
-            ok = (j > i) & (root[j] != root[i]) & (size[j] * percent <= size[i] * 100)
+            at = place[j]
+            lo, hi = np.searchsorted(at, place[i] + 1), np.searchsorted(at, top[i])
+            j, grid = j[lo:hi], grid[lo:hi]
+            ok = root[j] != root[i]
+            if cell is not None:
+                ok &= cell[j] != cell[i]
             if not ok.any():
                 continue
             j, grid = j[ok], grid[ok]
             if L > length[i]:
                 grid = grid[:, : L // 2] | grid[:, L // 2 :]
             most = np.minimum(size[i] - np.bitwise_count(maps[i] & ~grid).sum(1, dtype=np.int64), size[j] - np.bitwise_count(grid & ~maps[i]).sum(1, dtype=np.int64))
-            for k in j[(100 + percent) * most >= percent * (size[i] + size[j])]:
-                if root[k] != root[i]:
-                    u.append(i)
-                    v.append(k)
-                    a, b = sorted((root[i], root[k]))
-                    root[root == b] = a
-    return order[np.array(u, np.int64)], order[np.array(v, np.int64)]
+            j = j[(100 + percent) * most >= percent * (size[i] + size[j])]
+            if len(j):
+                yield int(i), j
+
+
+def plausible(size: np.ndarray, maps: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of a key's nodes whose sizes and bit counts allow a link, enough to tie what they tie."""
+    root, u, v = np.arange(len(size)), [], []
+    for i, j in allowed(size, maps, percent, None, root):
+        for k in j:
+            if root[k] != root[i]:
+                u.append(i)
+                v.append(k)
+                a, b = sorted((root[i], root[k]))
+                root[root == b] = a
+    return np.array(u, np.int64), np.array(v, np.int64)
 
 
 def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (u, v) between nodes: enough to tie every component. rows: doc_id and node of docs."""
+    """Links (u, v) between nodes: enough to tie every component. rows: doc_id, node, n_shingles and bits of docs."""
     spark = docs.sparkSession
     parts = partitions(spark)
 
@@ -327,37 +331,36 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
             member = hot & same
             a, r = smallest(v[member], np.repeat(v[first], count)[member])
             tie = mix(r.view(np.uint64) + np.uint64(0x589965CC75374CC3)).view(np.int64)
-            mark = np.concatenate([hot[~member], np.ones(len(tie), bool)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k[~member], tie])), pa.array(np.concatenate([v[~member], a])), pa.array(mark)], ["key", "node", "mark"])
+            mark = hot[~member]
+            k, v = k[~member], v[~member]
+            for marked, x, y in ((False, k[~mark], v[~mark]), (True, np.concatenate([k[mark], tie]), np.concatenate([v[mark], a]))):
+                yield from packed(x, y, marked)
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(it)
-        if not got:
+        if not got or not sum(b.num_rows for b in got):
             return
-        key = np.concatenate([b.column(0).to_numpy() for b in got])
-        node = np.concatenate([b.column(1).to_numpy() for b in got])
-        mark = np.concatenate([b.column(2).to_numpy(zero_copy_only=False) for b in got])
+        key, node, mark = unpacked(got)
         del got
         order = np.lexsort((node, key))
         key, node, mark = key[order], node[order], mark[order]
         same = np.zeros(len(key), bool)
         same[1:] = key[1:] == key[:-1]
-        # Keys of several nodes; keys of the same nodes are one.
+        # Keys of several nodes; keys of the same nodes are one: they go by a hash of the nodes.
         first = np.flatnonzero(~same)
         new = np.ones(len(key), bool)
         new[1:] = ~same[1:] | (node[1:] != node[:-1])
         count = np.add.reduceat(new.astype(np.int64), first)
         members = np.add.reduceat(np.where(new, mix(node.view(np.uint64)), np.uint64(0)), first)
         marked = np.maximum.reduceat(mark, first)
-        members += marked.astype(np.uint64)
+        members = mix(members + marked.astype(np.uint64)).view(np.int64)
         several = np.flatnonzero(count > 1)
         several = several[np.unique(members[several], return_index=True)[1]]
         block = np.cumsum(~same) - 1
         keep = new & np.isin(block, several)
-        key, node, mark = key[keep], node[keep], marked[block[keep]]
-        for lo in range(0, len(key), 1 << 16):
-            part = slice(lo, lo + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(node[part]), pa.array(mark[part])], ["key", "node", "mark"])
+        block = block[keep]
+        t = pa.Table.from_arrays([pa.array(members[block]), pa.array(node[keep]), pa.array(marked[block])], ["key", "node", "mark"])
+        yield from t.to_batches(max_chunksize=1 << 16)
 
     def weigh(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(it)
@@ -379,14 +382,18 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
         if u:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
-    met = stored(docs.select("text").mapInArrow(keyed, "key long, node long, mark boolean").repartition(parts, "key").mapInArrow(meet, "key long, node long, mark boolean"))
+    met = docs.select("text").mapInArrow(keyed, "route int, mark boolean, k binary, node binary").repartition(parts, "route").mapInArrow(meet, "key long, node long, mark boolean")
+    met = stored(met.dropDuplicates(["key", "node"]))
     release(spark)
     maps = rows.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("bits").alias("bits"))
-    loose = components(met.join(maps, "node").select("key", "node", "n", "bits", "mark").repartition(parts, "key").mapInArrow(weigh, "u long, v long"))
-    # One document of each node in a loose group, with its set.
+    met_maps = met.select("node").distinct().join(maps, "node")
+    loose = components(met.join(met_maps, "node").select("key", "node", "n", "bits", "mark").repartition(parts, "key").mapInArrow(weigh, "u long, v long"))
+    discard(met)
+    # One document of each node in a loose group, with its bitmap; its set is counted again from the text.
     groups = loose.select("node", F.col("root").alias("grp"))
-    chosen = rows.join(groups, "node").groupBy("node", "grp").agg(F.min("doc_id").alias("doc_id")).select("node", "grp", _id("doc_id").alias("id"))
-    texts = docs.select(_id("doc_id").alias("id"), "text").join(chosen, "id").select("text", "node", "grp")
+    chosen = rows.join(groups, "node").groupBy("node", "grp").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"))
+    chosen = chosen.select("node", "grp", _id("doc_id").alias("id"), "bits")
+    texts = docs.select(_id("doc_id").alias("id"), "text").join(chosen, "id").select("text", "node", "grp", "bits")
     edges = bands(percent, 1 << 40)
 
     def laid(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,42 +402,78 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
             ok = [i for i, (s, x) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)) if len(s) and node_of(s) == x]
             sizes = np.array([len(sets[i]) for i in ok], np.int64)
             band = (np.searchsorted(edges, sizes, "right") - 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(ok, pa.int64())), pa.array(band), batch.column(1).take(pa.array(ok, pa.int64())), pa.array([sets[i].tobytes() for i in ok], pa.binary())], ["grp", "band", "node", "items"])
+            at = pa.array(ok, pa.int64())
+            items = pa.array([sets[i].tobytes() for i in ok], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(at), pa.array(band), batch.column(1).take(at), batch.column(3).take(at), items], ["grp", "band", "node", "bits", "items"])
 
-    found = stored(texts.mapInArrow(laid, "grp long, band int, node long, items binary"))
-    del texts, chosen, groups
+    found = stored(texts.mapInArrow(laid, "grp long, band int, node long, bits binary, items binary"))
+    del texts, chosen, groups, met_maps, maps
     release(spark)
-    counts = found.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.groupBy("grp").agg(F.sum("n").alias("all"))
-    # A group of a cell's size at most is one tile; others have a tile for each pair of cells of one band or of two
-    # bands that follow each other.
-    many = counts.join(total.where(F.col("all") > CELL), "grp").select("grp", "band", F.ceil(F.col("n") / F.lit(CELL)).cast("int").alias("shares"))
-    cells = many.select("grp", "band", F.explode(F.expr("sequence(0, shares - 1)")).alias("part"))
-    a, b = (cells.select("grp", F.col("band").alias(f"b{x}"), F.col("part").alias(f"p{x}")) for x in "ab")
-    pairs = a.join(b, "grp").where("(ba = bb and pa <= pb) or bb = ba + 1").withColumn("tile", F.xxhash64("grp", "ba", "pa", "bb", "pb"))
-    to = pairs.select("grp", F.col("ba").alias("band"), F.col("pa").alias("part"), "tile").unionByName(pairs.where("ba <> bb or pa <> pb").select("grp", F.col("bb").alias("band"), F.col("pb").alias("part"), "tile"))
-    to = many.join(to, ["grp", "band"]).groupBy("grp", "band", "shares", "part").agg(F.collect_list("tile").alias("tiles"))
-    small = found.join(total.where(F.col("all") <= CELL).select("grp"), "grp").select(F.xxhash64("grp").alias("tile"), F.lit(0).cast("long").alias("cell"), "node", "items")
-    large = found.join(to, ["grp", "band"]).where("pmod(node, shares) = part").select(F.explode("tiles").alias("tile"), F.expr("band * 1000000L + part").alias("cell"), "node", "items")
-    dealt = small.unionByName(large)
+    # A tile is two cells of one band of a group, or of two bands that follow each other.
+    counts = found.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("n")).withColumn("shares", F.ceil(F.col("n") / F.lit(CELL)).cast("int"))
+    cells = counts.select("grp", "band", (F.col("n") == 1).alias("alone"), F.explode(F.expr("sequence(0, shares - 1)")).alias("part"))
+    a, b = (cells.select("grp", F.col("band").alias(f"b{x}"), F.col("part").alias(f"p{x}"), F.col("alone").alias(f"alone{x}")) for x in "ab")
+    pairs = a.join(b, "grp").where("(ba = bb and pa <= pb and not alonea) or bb = ba + 1").withColumn("tile", F.xxhash64("grp", "ba", "pa", "bb", "pb"))
+    ends = F.when((F.col("ba") == F.col("bb")) & (F.col("pa") == F.col("pb")), F.array(F.struct(F.col("ba").alias("band"), F.col("pa").alias("part"))))
+    ends = ends.otherwise(F.array(F.struct(F.col("ba").alias("band"), F.col("pa").alias("part")), F.struct(F.col("bb").alias("band"), F.col("pb").alias("part"))))
+    to = pairs.select("grp", "tile", F.explode(ends).alias("e")).groupBy("grp", F.col("e.band").alias("band"), F.col("e.part").alias("part")).agg(F.collect_list("tile").alias("tiles"))
+    to = to.join(counts.select("grp", "band", "shares"), ["grp", "band"])
+    dealt = found.join(to, ["grp", "band"]).where("pmod(node, shares) = part").select(F.explode("tiles").alias("tile"), F.expr("band * 1000000L + part").alias("cell"), "node", "bits", "items")
 
     def settle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(it)
         if not got or not sum(b.num_rows for b in got):
             return
         tile, cell, node = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(3))
-        data = np.concatenate([np.frombuffer(b"".join(x.as_py() for x in b.column(3)), np.uint64) for b in got])
-        size = np.concatenate([pa.compute.binary_length(b.column(3)).to_numpy() for b in got]).astype(np.int64) // 8
+        maps_, sets = ([np.frombuffer(x.as_py(), np.uint64) for b in got for x in b.column(k)] for k in (3, 4))
         del got
-        at = np.append(0, np.cumsum(size))
         order = np.argsort(tile, kind="stable")
         edge = np.flatnonzero(np.append(True, np.diff(tile[order]) != 0))
         out = []
-        for rows in np.split(order, edge[1:]):
-            if len(rows) > 1:
-                out += compare(node[rows], cell[rows], [data[at[i] : at[i + 1]] for i in rows], percent)
+        for at in np.split(order, edge[1:]):
+            if len(at) > 1:
+                out += compare(node[at], cell[at], [sets[i] for i in at], [maps_[i] for i in at], percent)
         if out:
             u, v = np.array(out, np.int64).T
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return dealt.repartition(parts, "tile").mapInArrow(settle, "u long, v long")
+    out = stored(dealt.repartition(parts, "tile").mapInArrow(settle, "u long, v long"))
+    discard(found)
+    return out
+
+
+#: Bits of a key that deal its rows out: a row of the exchange holds the keys of one route.
+ROUTE = 12
+
+
+def packed(key: np.ndarray, node: np.ndarray, mark: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (route, mark, k, node): the lower six bytes of the keys of a route, which tell them apart with the route's bits,
+    and their nodes."""
+    if not len(key):
+        return
+    k = key.view(np.uint64)
+    order = np.argsort(k)
+    k, v = k[order], node[order]
+    route = (k >> np.uint64(64 - ROUTE)).astype(np.int32)
+    cut = np.flatnonzero(np.diff(route, prepend=-1, append=-1))
+    low = np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    names = ["route", "mark", "k", "node"]
+    columns = [pa.array(route[cut[:-1]]), pa.array(np.full(len(cut) - 1, mark))]
+    for x, width in ((low, 6), (v, 8)):
+        columns.append(pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * width).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())]))
+    yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def unpacked(got: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (route and six bytes), nodes and marks of packed() rows."""
+    parts = []
+    for b in got:
+        low, to = byte_view(b.column(2))
+        node, _ = byte_view(b.column(3))
+        k = np.zeros((len(low) // 6, 8), np.uint8)
+        k[:, :6] = low.reshape(-1, 6)
+        n = np.diff(to) // 6
+        route = np.repeat(b.column(0).to_numpy().astype(np.uint64), n)
+        key = (k.view("<u8").ravel() & np.uint64((1 << 48) - 1)) | (route << np.uint64(48))
+        parts.append((key.view(np.int64), np.frombuffer(node.tobytes(), np.int64), np.repeat(b.column(1).to_numpy(zero_copy_only=False), n)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
