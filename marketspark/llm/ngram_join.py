@@ -28,8 +28,9 @@ from marketspark.llm.common import LOWER, batches, byte_view, discard, documents
 
 #: Nodes of a cell.
 CELL = 1024
-#: Nodes of a batch that share a key one by one; beyond, one stands for them.
-HOT = 1000
+#: Keys that a task gathers before it sends them, and nodes among them that share a key one by one; beyond, one stands for
+#: them.
+KEYS, HOT = 400_000, 300
 #: A part of fewer shingles says little; it is a key only for sets that have too many of them.
 WEAK = 3
 
@@ -307,34 +308,22 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     parts = partitions(spark)
 
     def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            seen, key, node = set(), [], []
-            for _, data, offsets in batches(iter([batch])):
-                sets = [s for s in shingles(data, offsets, n) if len(s)]
-                names = np.array([node_of(s) for s in sets], np.int64)
-                new = [i for i, x in enumerate(names.tolist()) if not (x in seen or seen.add(x))]
-                k, at = keys_of([sets[i] for i in new], percent)
-                key.append(k)
-                node.append(names[new][at] if len(at) else np.zeros(0, np.int64))
-            key, node = np.concatenate(key or [np.zeros(0, np.int64)]), np.concatenate(node or [np.zeros(0, np.int64)])
-            if not len(key):
-                continue
-            order = np.lexsort((node, key))
-            k, v = key[order], node[order]
-            same = np.zeros(len(k), bool)
-            same[1:] = k[1:] == k[:-1]
-            first = np.flatnonzero(~same)
-            count = np.diff(np.append(first, len(k)))
-            hot = np.repeat(count > HOT, count)
-            # A key that many of the batch's nodes share: the smallest stands for them under it, and a key of their own ties
-            # them, so that it takes a row a batch. Such rows are marked: what they stand for is compared later.
-            member = hot & same
-            a, r = smallest(v[member], np.repeat(v[first], count)[member])
-            tie = mix(r.view(np.uint64) + np.uint64(0x589965CC75374CC3)).view(np.int64)
-            mark = hot[~member]
-            k, v = k[~member], v[~member]
-            for marked, x, y in ((False, k[~mark], v[~mark]), (True, np.concatenate([k[mark], tie]), np.concatenate([v[mark], a]))):
-                yield from packed(x, y, marked)
+        seen: set[int] = set()
+        key, node, size = [], [], 0
+        for _, data, offsets in batches(it):
+            sets = [s for s in shingles(data, offsets, n) if len(s)]
+            names = np.array([node_of(s) for s in sets], np.int64)
+            new = [i for i, x in enumerate(names.tolist()) if not (x in seen or seen.add(x))]
+            k, at = keys_of([sets[i] for i in new], percent)
+            key.append(k)
+            node.append(names[new][at] if len(at) else np.zeros(0, np.int64))
+            size += len(k)
+            if size > KEYS:
+                yield from dealt_keys(np.concatenate(key), np.concatenate(node))
+                seen.clear()
+                key, node, size = [], [], 0
+        if size:
+            yield from dealt_keys(np.concatenate(key), np.concatenate(node))
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(it)
@@ -442,6 +431,28 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     return out
 
 
+def dealt_keys(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """packed() rows of the keys of some documents.
+
+    A key that many of these nodes share: the smallest stands for them under it, and a key of their own ties them, so that it
+    takes a row each time. Such rows are marked: what they stand for is compared later."""
+    order = np.lexsort((node, key))
+    k, v = key[order], node[order]
+    same = np.zeros(len(k), bool)
+    same[1:] = k[1:] == k[:-1]
+    first = np.flatnonzero(~same)
+    count = np.diff(np.append(first, len(k)))
+    hot = np.repeat(count > HOT, count)
+    member = hot & same
+    a, r = smallest(v[member], np.repeat(v[first], count)[member])
+    tie = mix(r.view(np.uint64) + np.uint64(0x589965CC75374CC3)).view(np.int64)
+    mark = hot[~member]
+    k, v = k[~member], v[~member]
+    del order, same, hot, member
+    for marked, x, y in ((False, k[~mark], v[~mark]), (True, np.concatenate([k[mark], tie]), np.concatenate([v[mark], a]))):
+        yield from packed(x, y, marked)
+
+
 #: Bits of a key that deal its rows out: a row of the exchange holds the keys of one route.
 ROUTE = 12
 

@@ -1,9 +1,11 @@
-"""Best-fit packing of token pieces into sequences, improved by a swap-based local search.
-
-Documents are tokenized where they lie; only (document, piece, length, checksum) rows move. Groups of rows of bounded
-size are packed on their own: best fit by falling length, then one-for-one and two-for-one exchanges and moves between
-underfull bins, each raising the sum of squared fills, until bins run empty. What a group leaves in underfull bins is
-packed again across groups.
+"""Best-fit packing of token pieces into sequences by a swap-based local search.
+
+Documents are tokenized where they lie; only (document, piece, length, checksum) rows move. Groups of rows of bounded size
+are packed on their own. They start as they arrive: each row into the last bin if it has room, else into a new one. Then the
+emptiest bin gives to the fuller ones: a move into the bin that it fits best, or a one-for-one or two-for-one exchange that
+leaves the taker the least room. Every step raises the sum of squared fills, so bins run full or empty. The search ends after
+a round over all underfull bins that empties none, or where no bin can be saved. The underfull bins of all groups are then searched again together, round by
+round, until they are one group's or a round saves nothing.
 """
 
 from __future__ import annotations
@@ -11,9 +13,8 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -91,103 +92,165 @@ def tokenized(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     return cast.mapInArrow(run, schema)
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of item numbers: items by falling length, each into the fullest bin that has room."""
-    open_, mask, bins = [[] for _ in range(capacity + 1)], 0, []
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        x = lengths[i]
+def next_fit(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Bins of item numbers in the order given: each item into the last bin if it has room, else into a new one."""
+    bins: list[list[int]] = []
+    room = 0
+    for i, x in enumerate(lengths):
         if x > capacity:
             raise ValueError(f"an item of {x} doesn't fit into {capacity}")
-        fit = mask >> x
-        if fit:
-            room = x + (fit & -fit).bit_length() - 1
-            b = open_[room].pop()
-            if not open_[room]:
-                mask ^= 1 << room
-        else:
-            b, room = len(bins), capacity
+        if x > room or not bins:
             bins.append([])
-        bins[b].append(i)
+            room = capacity
+        bins[-1].append(i)
         room -= x
-        if room:
-            open_[room].append(b)
-            mask |= 1 << room
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 20) -> list[list[int]]:
-    """Exchanges between underfull bins, each raising the sum of squared fills, until a round changes nothing, `rounds`
-    are over or no bin can be saved. Never more bins than before; every item stays in one bin."""
-    least = -(-sum(lengths) // capacity)
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        if sum(map(bool, bins)) <= least:
-            break
-        under = sorted((k for k, b in enumerate(bins) if b and fill[k] < capacity), key=lambda k: (fill[k], k))
-        changed = False
-        lo, hi = 0, len(under) - 1
-        # The emptiest bin gives, the fullest ones take.
-        while lo < hi:
-            give = under[lo]
-            for take in reversed(under[lo + 1 :][-64:]):
-                while bins[give] and fill[take] < capacity and (step := exchange(bins[give], bins[take], fill[give], fill[take], lengths, capacity)):
-                    out, back = step
-                    for i in out:
-                        bins[give].remove(i)
-                    for i in back:
-                        bins[take].remove(i)
-                    bins[take] += out
-                    bins[give] += back
-                    x = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
-                    fill[take] += x
-                    fill[give] -= x
-                    changed = True
-                if not bins[give]:
+class Search:
+    """Local search over bins of items: moves, one-for-one and two-for-one exchanges from an underfull bin to fuller ones."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.capacity, self.size = capacity, np.array(lengths, np.int64)
+        self.bins = [list(b) for b in bins]
+        self.at = np.empty(len(lengths), np.int64)
+        self.room = np.array([capacity - sum(lengths[i] for i in b) for b in bins], np.int64)
+        for k, b in enumerate(bins):
+            self.at[b] = k
+        # Underfull bins by room, and a bit for each room that some bin has.
+        self.by: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.mask = 0
+        for k in range(len(bins)):
+            self._enter(k)
+        self.live = np.arange(len(lengths))
+
+    def _enter(self, k: int) -> None:
+        r = int(self.room[k])
+        if r and self.bins[k]:
+            self.by[r].add(k)
+            self.mask |= 1 << r
+
+    def _leave(self, k: int) -> None:
+        r = int(self.room[k])
+        self.by[r].discard(k)
+        if not self.by[r]:
+            self.mask &= ~(1 << r)
+
+    def shift(self, giver: int, taker: int, out: list[int], back: list[int]) -> None:
+        """Items `out` go from giver to taker, `back` the other way. The giver is not among the underfull bins meanwhile."""
+        self._leave(taker)
+        for i in out:
+            self.bins[giver].remove(i)
+            self.at[i] = taker
+        for i in back:
+            self.bins[taker].remove(i)
+            self.at[i] = giver
+        self.bins[taker] += out
+        self.bins[giver] += back
+        gain = int(self.size[out].sum() - self.size[back].sum())
+        self.room[taker] -= gain
+        self.room[giver] += gain
+        self._enter(taker)
+
+    def partner(self, x: int, giver: int) -> int | None:
+        """The item smaller than x in another underfull bin that leaves its bin the least room when x takes its place."""
+        at = self.at[self.live]
+        size, room = self.size[self.live], self.room[at]
+        left = size + room - x
+        ok = np.flatnonzero((size < x) & (left >= 0) & (room > 0) & (at != giver))
+        return int(self.live[ok[left[ok].argmin()]]) if len(ok) else None
+
+    def step(self, giver: int) -> bool:
+        """One move or exchange that fills a taker the most; False where none is left."""
+        mine = sorted(self.bins[giver], key=lambda i: (-self.size[i], i))
+        tried = set()
+        for i in mine:
+            x = int(self.size[i])
+            if x in tried:
+                continue
+            tried.add(x)
+            fit = self.mask >> x
+            if fit:
+                taker = min(self.by[x + (fit & -fit).bit_length() - 1])
+                self.shift(giver, taker, [i], [])
+                return True
+            j = self.partner(x, giver)
+            if j is not None:
+                self.shift(giver, int(self.at[j]), [i], [j])
+                return True
+        # Two for one: the sums that the giver's pairs make, each once.
+        pairs: dict[int, tuple[int, int]] = {}
+        for k, i in enumerate(mine):
+            for j in mine[k + 1 :]:
+                pairs.setdefault(int(self.size[i] + self.size[j]), (i, j))
+        best = None
+        for x in sorted(pairs):
+            j = self.partner(x, giver)
+            if j is not None:
+                left = int(self.size[j] + self.room[self.at[j]]) - x
+                if best is None or left < best[0]:
+                    best = (left, x, j)
+                if not left:
                     break
-            lo += 1
-            if lo >= 64:
-                break
-        if not changed:
-            break
-    return [b for b in bins if b]
-
-
-def exchange(give: list[int], take: list[int], from_: int, to: int, lengths: list[int], capacity: int) -> tuple[list[int], list[int]] | None:
-    """The items that go over and those that come back: the move, one-for-one or two-for-one exchange that fills `take`
-    the most without passing capacity, and that raises the sum of squared fills. None if there is none."""
-    room, best, found = capacity - to, 0, None
-    sizes = sorted((lengths[i], i) for i in give)
-    only = [x for x, _ in sizes]
-
-    def tried(gain: int, out: list[int], back: list[int]) -> None:
-        nonlocal best, found
-        if best < gain <= room and gain * (to - from_ + gain) > 0:
-            best, found = gain, (out, back)
-
-    k = bisect_right(only, room) - 1
-    if k >= 0:
-        tried(only[k], [sizes[k][1]], [])
-    for y in take:
-        if best == room:
-            break
-        k = bisect_right(only, room + lengths[y]) - 1
-        if k >= 0:
-            tried(only[k] - lengths[y], [sizes[k][1]], [y])
-        j = len(sizes) - 1
-        for i in range(min(len(sizes), 64)):
-            while j > i and only[i] + only[j] - lengths[y] > room:
-                j -= 1
-            if j <= i:
-                break
-            tried(only[i] + only[j] - lengths[y], [sizes[i][1], sizes[j][1]], [y])
-    return found
+        if best is None:
+            return False
+        self.shift(giver, int(self.at[best[2]]), list(pairs[best[1]]), [best[2]])
+        return True
+
+    def run(self) -> list[list[int]]:
+        """Rounds in which each underfull bin, the emptiest first, gives until it is empty or no step is left for it. Ends
+        after a round that empties no bin, or with as few bins as the sum of lengths allows. Every item stays in one bin."""
+        least = -(-int(self.size.sum()) // self.capacity)
+        count = sum(map(bool, self.bins))
+        before = count + 1
+        while least < count < before:
+            before = count
+            todo = sorted((k for k, b in enumerate(self.bins) if b and self.room[k]), key=lambda k: (-self.room[k], k))
+            for giver in todo:
+                if count <= least:
+                    break
+                if not self.bins[giver] or not self.room[giver]:
+                    continue
+                if len(self.live) > 64 and (gone := (self.room[self.at[self.live]] == 0).mean()) > 0.1 and gone:
+                    self.live = self.live[self.room[self.at[self.live]] > 0]
+                self._leave(giver)
+                # Fuller bins take: as the giver only loses and takers only gain, each step raises the sum of squares.
+                under = [k for s in self._rooms_above(int(self.room[giver])) for k in self.by[s]]
+                for k in under:
+                    self._leave(k)
+                while self.bins[giver] and self.step(giver):
+                    pass
+                for k in under:
+                    self._enter(k)
+                self._enter(giver)
+                count -= not self.bins[giver]
+        return [b for b in self.bins if b]
+
+    def _rooms_above(self, room: int) -> list[int]:
+        high, out = self.mask >> (room + 1), []
+        while high:
+            low = (high & -high).bit_length() - 1
+            out.append(room + 1 + low)
+            high &= high - 1
+        return out
+
+
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """The local search from the given bins: never more bins than before."""
+    return Search(bins, lengths, capacity).run()
 
 
 def pack_group(pdf: pd.DataFrame, capacity: int, group: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["length", "doc_id", "piece", "salt"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+    """Rows of a group with sequence_id, offset and full. Rows that have a sequence_id start in it, others as they come."""
+    pdf = pdf.sort_values(["sequence_id", "offset", "doc_id", "piece", "ids_crc32", "salt"], kind="stable").reset_index(drop=True)
     lengths = pdf["length"].tolist()
+    if len(pdf) and pdf["sequence_id"].iloc[0] >= 0:
+        cut = np.flatnonzero(pdf["sequence_id"].diff().fillna(1).to_numpy())
+        start = [x.tolist() for x in np.split(np.arange(len(pdf)), cut[1:])]
+    else:
+        start = next_fit(lengths, capacity)
     sequence, offset, full = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64), np.zeros(len(pdf), bool)
-    for k, b in enumerate(improve(best_fit(lengths, capacity), lengths, capacity)):
+    for k, b in enumerate(improve(start, lengths, capacity)):
         at = 0
         for i in b:
             sequence[i], offset[i] = (group << 32) + k, at
@@ -203,24 +266,35 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, group:
     packed each on its own. Other columns of docs are ignored. An empty table gives no rows. Never more than `capacity`
     tokens a sequence; the rows of a sequence lie gapless from offset 0.
     """
-    spark = docs.sparkSession
     rows = stored(tokenized(docs, path or vocabulary(), capacity))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, salt long, sequence_id long, offset long, full boolean, g long"
 
-    def packed(df: DataFrame, groups: int, first: int) -> DataFrame:
-        deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt", F.lit(first)), F.lit(groups)) + first
+    def searched(df: DataFrame, by: list[str], groups: int, first: int) -> DataFrame:
+        deal = F.pmod(F.xxhash64(*by, F.lit(first)), F.lit(groups)) + first
         return df.withColumn("g", deal.cast("long")).groupBy("g").applyInPandas(lambda key, pdf: pack_group(pdf.drop(columns="g"), capacity, key[0]).assign(g=key[0]), schema)
 
-    groups = max(1, -(-rows.count() // group))
-    once = packed(rows, groups, 0)
-    if groups > 1:
-        once = stored(once)
-        # Underfull bins of all groups again, as many groups at a time as give one group's worth of rows.
-        rest = once.where("not full").drop("sequence_id", "offset", "full", "g")
-        again = packed(rest, max(1, -(-rest.count() // group)), groups)
-        once = once.where("full").unionByName(again)
-    return once.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    left = rows.count()
+    groups, first, done = max(1, -(-left // group)), 0, []
+    rest = rows.withColumn("sequence_id", F.lit(-1).cast("long")).withColumn("offset", F.lit(0).cast("long"))
+    by = ["doc_id", "piece", "ids_crc32", "salt"]
+    while True:
+        out = searched(rest, by, groups, first)
+        if groups == 1:
+            done.append(out)
+            break
+        out = stored(out)
+        # Whole underfull bins of all groups go into as few groups as hold them.
+        under = out.where("not full")
+        more = under.count()
+        if more == left:
+            done.append(out)
+            break
+        done.append(out.where("full"))
+        rest, by, left, first = under.drop("full", "g"), ["sequence_id"], more, first + groups
+        groups = max(1, -(-left // group))
+    whole = reduce(DataFrame.unionByName, done)
+    return whole.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
