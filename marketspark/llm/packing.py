@@ -122,7 +122,7 @@ class Search:
         self.mask = 0
         for k in range(len(bins)):
             self._enter(k)
-        self.live = np.arange(len(lengths))
+        self.live, self.most = np.arange(len(lengths)), capacity
 
     def _enter(self, k: int) -> None:
         r = int(self.room[k])
@@ -153,11 +153,11 @@ class Search:
         self._enter(taker)
 
     def partner(self, x: int, giver: int) -> int | None:
-        """The item smaller than x in another underfull bin that leaves its bin the least room when x takes its place."""
+        """The item smaller than x in another underfull bin, of `most` room, that leaves it the least room if x takes its place."""
         at = self.at[self.live]
         size, room = self.size[self.live], self.room[at]
         left = size + room - x
-        ok = np.flatnonzero((size < x) & (left >= 0) & (room > 0) & (at != giver))
+        ok = np.flatnonzero((size < x) & (left >= 0) & (room > 0) & (room <= self.most) & (at != giver))
         return int(self.live[ok[left[ok].argmin()]]) if len(ok) else None
 
     def step(self, giver: int) -> bool:
@@ -215,7 +215,8 @@ class Search:
                     self.live = self.live[self.room[self.at[self.live]] > 0]
                 self._leave(giver)
                 # Fuller bins take: as the giver only loses and takers only gain, each step raises the sum of squares.
-                under = [k for s in self._rooms_above(int(self.room[giver])) for k in self.by[s]]
+                self.most = int(self.room[giver])
+                under = [k for s in self._rooms_above(self.most) for k in self.by[s]]
                 for k in under:
                     self._leave(k)
                 while self.bins[giver] and self.step(giver):
