@@ -525,12 +525,11 @@ def test_pipeline(spark):
 
 def test_media_pairs_of_a_key_are_not_lost():
     """Images 3 and 4 share keys 7 and 8; smaller images that aren't copies hold one of them each."""
-    k, v = np.array([7, 7, 7, 8, 8, 8]), np.array([1, 3, 4, 2, 3, 4])
-    u, w, hot = media._met(k, v)
-    assert (3, 4) in set(zip(u.tolist(), w.tolist())) and not hot.any()
+    k, v = np.array([7, 7, 7, 8, 8, 8, 8]), np.array([1, 3, 4, 2, 3, 4, 4])
+    assert dict(zip(zip(*(x.tolist() for x in media.met_by(k, v)[:2])), media.met_by(k, v)[2].tolist())) == {(1, 3): 1, (1, 4): 1, (2, 3): 1, (2, 4): 1, (3, 4): 2}
     n = media.CELL + 1
-    u, w, hot = media._met(np.zeros(n, np.int64), np.arange(n))
-    assert hot.all() and set(zip(u.tolist(), w.tolist())) == {(i, 0) for i in range(1, n)}
+    u, w, votes = media.met_by(np.zeros(n, np.int64), np.arange(n))
+    assert set(zip(u.tolist(), w.tolist())) == {(0, i) for i in range(1, n)} and (votes >= media.VOTES).all()
 
 
 def warped(a, degrees, zoom):
@@ -542,11 +541,27 @@ def warped(a, degrees, zoom):
     return (a[j, i] * (1 - fx) + a[j, i + 1] * fx) * (1 - fy) + (a[j + 1, i] * (1 - fx) + a[j + 1, i + 1] * fx) * fy
 
 
+def all_pairs(seen):
+    """The classes of copies() over all pairs (as smallest index), and the pairs."""
+    root, pairs = list(range(len(seen))), []
+    for i in range(len(seen)):
+        for j in range(i):
+            if media.copies(seen[i], seen[j]):
+                pairs.append((j, i))
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    return root, pairs
+
+
+def keys_in_common(a, b, width, orders):
+    return sum(len(np.intersect1d(media.table_keys(a[1], width, r), media.table_keys(b[1], width, r))) for r in range(orders))
+
+
 def test_media_recall_against_all_pairs(spark):
-    """Rescaled, turned and noisy copies: the classes are those of copies() over all pairs."""
+    """Rescaled, turned and noisy copies: the classes are those of copies() over all pairs, by either set of tables."""
     rng = np.random.default_rng(5)
     items = []
-    for s in range(12):
+    for s in range(24):
         p = picture(100 + s, 160)
         for _ in range(3):
             p = media.smooth(p.astype(np.float32))
@@ -554,17 +569,47 @@ def test_media_recall_against_all_pairs(spark):
         items += [p, warped(p, 0, 0.9), warped(p, 0, 1.15), warped(p, 12, 1), warped(p, -8, 1.1), p + rng.normal(0, 25, p.shape)]
     blobs = [media.encode(x) for x in items]
     seen = [media.describe(media.decode(x)) for x in blobs]
-    root = list(range(len(seen)))
-    far = 0
-    for i in range(len(seen)):
-        for j in range(i):
-            if media.copies(seen[i], seen[j]):
-                far += len(np.intersect1d(media.table_keys(seen[i][1]), media.table_keys(seen[j][1]))) < 2
-                lo, hi = sorted((root[i], root[j]))
-                root = [lo if r == hi else r for r in root]
+    root, pairs = all_pairs(seen)
     got = dict(media.classes(spark.createDataFrame(list(enumerate(blobs)), "id long, image binary")).select("id", "class_id").collect())
-    print(f"{far} accepted pairs with fewer than two of the first four keys; {len(set(root))} classes of {len(seen)} images")
-    assert far and got == dict(enumerate(root))
+    assert len(pairs) > 40 and got == dict(enumerate(root))
+    for n in (1 << 20, 1 << 30):
+        width, orders = media.tables(n)
+        recall = np.mean([keys_in_common(seen[i], seen[j], width, orders) >= media.VOTES for i, j in pairs])
+        print(f"{len(pairs)} accepted pairs of {len(seen)} images: {recall:.3f} share two keys of {width} bits")
+        assert recall >= 0.95
+
+
+def test_media_recall_on_pages(spark):
+    """All pages of the small tables, and edited copies of some: no class of copies() over all pairs is lost."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html").collect()
+    data = [(r.page_id, r.html) for r in pages]
+    for k, (i, html) in enumerate(data[:40]):
+        w = html.split(" ")
+        for e in range(1 + k % 3):
+            w[(7 * e + k) % len(w)] = f"edit{k}"
+        data.append((10_000 + i, " ".join(w)))
+    df = media.pictures(spark.createDataFrame(data, "page_id long, html string"))
+    order = sorted(df.collect(), key=lambda r: r.page_id)
+    seen = [media.describe(media.decode(bytes(r.image))) for r in order]
+    root, pairs = all_pairs(seen)
+    got = dict(media.classes(df, "image", "page_id").select("page_id", "class_id").collect())
+    assert len(pairs) > 15 and got == {r.page_id: order[root[k]].page_id for k, r in enumerate(order)}
+
+
+def test_media_does_not_depend_on_batches(spark):
+    """A large group of near copies, over several tiles, among others: one class, however rows are dealt."""
+    rng = np.random.default_rng(6)
+    base = picture(40, 60)
+    data = [(i, media.encode(base + rng.normal(0, 2, base.shape))) for i in range(1200)] + [(2000 + i, media.encode(picture(500 + i, 60))) for i in range(30)]
+    d = spark.createDataFrame(data, "id long, image binary")
+    a, b = (sorted(map(tuple, media.classes(d.repartition(n)).select("id", "class_id").collect())) for n in (2, 7))
+    assert a == b and {c for i, c in a if i < 1200} == {0} and all(c == i for i, c in a if i >= 2000)
+
+
+def test_media_states(spark):
+    data = [(1, None), (2, b""), (3, b"\xff\xd8\xff junk"), (4, media.encode(np.full((50, 50), 9.0))), (5, media.encode(picture(3)))]
+    got = dict(media.classes(spark.createDataFrame(data, "id long, image binary")).select("id", "state").collect())
+    assert got == {1: "null", 2: "empty", 3: "unknown", 4: "plain", 5: "ok"}
 
 
 def test_media_places_of_large_images(spark):
