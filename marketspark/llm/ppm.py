@@ -16,10 +16,12 @@ joined by hash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -239,7 +241,9 @@ def score(docs: DataFrame, train: DataFrame, order: int = ORDER, trie: int = TRI
     """doc_id, n_tokens, n_known, train_tokens (long), base_score, score (double), a row for each of docs'.
 
     train: rows with text. Tokens are the words and one end a text; a null text is empty. An empty train leaves every
-    symbol as likely as any other and the base score at log10(1/1) a token. Rows of equal doc_id stay apart.
+    symbol as likely as any other and the base score at log10(1/1) a token. Rows of equal doc_id, null ones too, stay apart;
+    rows of equal text have equal scores. Other columns of docs are ignored; an empty docs gives no rows. How docs' rows are
+    dealt to tasks has no say, in a rerun neither.
     """
     spark = docs.sparkSession
     counts = stored(counted(train, order))
@@ -261,13 +265,12 @@ def score(docs: DataFrame, train: DataFrame, order: int = ORDER, trie: int = TRI
     short = None
     if slices > 1:
         short = _arrays(grams.groupBy(F.col("key").bitwiseAND((1 << 2 * BITS) - 1).alias("key")).agg(F.sum("n").alias("n")))
-    schema = "id long, doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", n_tokens long, n_known long, base double, score double, rest array<long>"
+    schema = "text_id binary, doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", n_tokens long, n_known long, base double, score double, rest array<long>"
     share = tokens + 0.5 * (kinds + 1)
     whole = least == 1
 
     def scoring(model, slice_: int):
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at = TaskContext.get().partitionId() << 40
             trie_ = model.value
             for batch, data, offsets in batches(it, most=PIECE):
                 n = len(offsets) - 1
@@ -280,12 +283,12 @@ def score(docs: DataFrame, train: DataFrame, order: int = ORDER, trie: int = TRI
                     lp = trie_.score(g)
                 lp = np.append(0, np.cumsum(lp))
                 code = lp[begin[1:]] - lp[begin[:-1]]
-                ids = pa.array(np.arange(at, at + n))
-                at += n
+                raw = data.tobytes()
+                ids = pa.array([blake2b(raw[a:b], digest_size=16).digest() if slices > 1 or not whole else b"" for a, b in pairwise(offsets.tolist())], pa.binary())
                 if slice_:
                     zero = pa.array(np.zeros(n, np.int64))
                     rest = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array(np.zeros(0, np.int64)))
-                    yield pa.RecordBatch.from_arrays([ids, batch.column(0), zero, zero, pa.array(np.zeros(n)), pa.array(code), rest], ["id", "doc_id", "n_tokens", "n_known", "base", "score", "rest"])
+                    yield pa.RecordBatch.from_arrays([ids, batch.column(0), zero, zero, pa.array(np.zeros(n)), pa.array(code), rest], ["text_id", "doc_id", "n_tokens", "n_known", "base", "score", "rest"])
                     continue
                 h, doc = words(data, offsets)
                 h, doc = np.append(h, np.full(n, END)).view(np.int64), np.append(doc, np.arange(n))
@@ -299,7 +302,7 @@ def score(docs: DataFrame, train: DataFrame, order: int = ORDER, trie: int = TRI
                 r = r[np.argsort(doc[r], kind="stable")]
                 o = np.append(0, np.cumsum(np.bincount(doc[r], minlength=n)))
                 rest = pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(h[r]))
-                yield pa.RecordBatch.from_arrays([ids, batch.column(0), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc[known], minlength=n)), pa.array(base), pa.array(code), rest], ["id", "doc_id", "n_tokens", "n_known", "base", "score", "rest"])
+                yield pa.RecordBatch.from_arrays([ids, batch.column(0), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc[known], minlength=n)), pa.array(base), pa.array(code), rest], ["text_id", "doc_id", "n_tokens", "n_known", "base", "score", "rest"])
 
         return run
 
@@ -310,16 +313,16 @@ def score(docs: DataFrame, train: DataFrame, order: int = ORDER, trie: int = TRI
         parts.append(stored(docs.select("doc_id", "text").mapInArrow(scoring(model, k), schema)))
         model.unpersist()
     rows = parts[0]
+    # A score is a text's alone, so what belongs together is found by a hash of the text, however the rows were read. Of
+    # rows with one text, one is joined.
     if slices > 1:
-        more = parts[1]
-        for p in parts[2:]:
-            more = more.unionByName(p)
-        rows = rows.join(more.groupBy("id").agg(F.sum("score").alias("more")), "id").withColumn("score", F.col("score") + F.col("more")).drop("more")
+        more = reduce(DataFrame.unionByName, [p.groupBy("text_id").agg(F.first("score").alias("more")) for p in parts[1:]])
+        rows = rows.join(more.groupBy("text_id").agg(F.sum("more").alias("more")), "text_id").withColumn("score", F.col("score") + F.col("more")).drop("more")
     if not whole:
-        rare = rows.select("id", F.explode("rest").alias("key")).join(vocab.where(F.col("n") < least), "key", "left")
+        rare = rows.groupBy("text_id").agg(F.first("rest").alias("rest")).select("text_id", F.explode("rest").alias("key")).join(vocab.where(F.col("n") < least), "key", "left")
         n = F.coalesce("n", F.lit(0))
-        rare = rare.groupBy("id").agg(F.sum(F.log10((n + 0.5) / F.lit(share))).alias("add"), F.sum((n > 0).cast("long")).alias("known"))
-        rows = rows.join(rare, "id", "left").withColumn("base", F.col("base") + F.coalesce("add", F.lit(0.0))).withColumn("n_known", F.col("n_known") + F.coalesce("known", F.lit(0)))
+        rare = rare.groupBy("text_id").agg(F.sum(F.log10((n + 0.5) / F.lit(share))).alias("add"), F.sum((n > 0).cast("long")).alias("known"))
+        rows = rows.join(rare, "text_id", "left").withColumn("base", F.col("base") + F.coalesce("add", F.lit(0.0))).withColumn("n_known", F.col("n_known") + F.coalesce("known", F.lit(0)))
     return rows.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
