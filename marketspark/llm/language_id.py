@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,18 @@ class Grams(dict):
         return got
 
 
-#: Everything but letters parts words: digits, marks, symbols and white space.
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _other_numbers() -> str:
+    """A character class's inside: what the pattern library takes for word characters though they are neither letters
+    (category L) nor decimal digits, such as fractions, superscripts and letter numbers."""
+    odd = [c for c in range(0x110000) if (x := chr(c)).isalnum() and not x.isalpha() and not x.isdecimal()]
+    cut = [0, *(k for k in range(1, len(odd)) if odd[k] != odd[k - 1] + 1), len(odd)]
+    return "".join(f"{chr(odd[a])}-{chr(odd[b - 1])}" for a, b in pairwise(cut))
+
+
+#: Everything but letters parts words: digits and other numbers, marks, symbols and white space.
+LETTERS = re.compile(rf"[^\W\d_{_other_numbers()}]+")
 
 
 def words_of(text: str) -> list[str]:
@@ -61,6 +72,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, profile: int = PROFILE) -> dict[s
     """Profiles by language from rows of doc_id, text and non-null lang; `sample` texts a language at most.
 
     Texts are counted whole, by task, and the counts added up before they come to the driver: `profile` n-grams a language.
+    Ties go by code point. Rows with a null text or lang are left out, repeated rows count each; a language whose texts have
+    no letter has an empty profile, and an empty table gives none.
     """
     rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     total = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row a language
