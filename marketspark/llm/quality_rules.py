@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import batches, documents, extended, mix, per_document, span_hashes, word_spans
+from marketspark.llm.common import batches, documents, extended, mix, per_document, sampled, span_hashes, word_spans
 
-#: Labelled rows that the list is learned from, at most: the first by a hash of doc_id.
+#: Labelled rows that the list is learned from, about, where there are more: a share by a hash of doc_id.
 SAMPLE = 20_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -207,8 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **more) -> lis
     """Rules for documents labelled quality 0. Null labels and labels of other documents are left out; of several labels of
     a document the lowest holds. `sample` bounds the labelled rows that come to the driver as numbers."""
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(one), "doc_id")).drop("text")  # `sample` rows at most
+    one = sampled(one, "doc_id", sample)
+    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(one), "doc_id")).drop("text")  # about `sample` rows
     rows = rows.where(~base_failed()).toArrow().to_pandas().sort_values(["doc_id", *COUNTS], kind="stable")
     if rows.empty:
         return []

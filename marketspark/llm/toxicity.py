@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import LOWER, WHITE, batches, documents, extended, fold, fresh, mix, per_document, span_hashes, word_spans
+from marketspark.llm.common import LOWER, WHITE, batches, documents, extended, fold, fresh, mix, per_document, sampled, span_hashes, word_spans
 
-#: Labelled rows that the model learns from, at most: the first by a hash of doc_id.
+#: Labelled rows that the model learns from, about, where there are more: a share by a hash of doc_id.
 SAMPLE = 40_000
 #: Entries of the lexicon, at most: those of most weight.
 ENTRIES = 4000
@@ -217,8 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Null labels and labels of other documents are left out; of several labels of a document the highest holds. With
     fewer than 8 toxic or 8 clean rows for the trees, every score is the share of toxic rows (0 without rows)."""
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(one), "doc_id").select("text", "toxic", "part")  # `sample` rows at most
+    one = sampled(one, "doc_id", sample).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10)))
+    rows = docs.select("doc_id", "text").join(F.broadcast(one), "doc_id").select("text", "toxic", "part")  # about `sample` rows
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in batches(it):
@@ -286,7 +286,10 @@ def scored(df: DataFrame, model: Model, score: str = "score", predicted: str = "
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs, as they are, without those that a model learned from their labelled ones calls toxic."""
+    """docs, as they are, without those that a model learned from their labelled ones calls toxic.
+
+    A null text is empty, and kept unless toxic rows are the rule; rows that are alike share a verdict; columns of any name
+    stay as they are; an empty table stays empty; without usable labels every document stays."""
     score, predicted = fresh(docs, "score", "predicted")
     out = scored(docs, fit(docs, labels), score, predicted)
     return out.where(F.col(predicted) == 0).drop(score, predicted)
