@@ -622,3 +622,207 @@ def test_media_places_of_large_images(spark):
 
 def test_media_pictures_are_80_pixels_wide():
     assert media.decode(media.draw(b"some words")).shape == (80, 80)
+
+
+# --- what the driver's SQL cannot say, against plain versions
+
+
+def test_hypergeometric_is_exact():
+    """Against the probabilities as ratios of integers: chi-square over every outcome."""
+    rng = random.Random(1)
+    for good, bad, n in ((30, 70, 20), (5, 3, 4), (400, 600, 500), (2, 10_000, 5000)):
+        draws = collections.Counter(sharding.hypergeometric(rng, good, bad, n) for _ in range(4000))
+        p = {k: math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(max(0, n - bad), min(n, good) + 1)}
+        assert set(draws) <= set(p)
+        common_ = [k for k in p if 4000 * p[k] >= 5]
+        rare = 4000 * (1 - sum(p[k] for k in common_))
+        chi = sum((draws[k] - 4000 * p[k]) ** 2 / (4000 * p[k]) for k in common_)
+        assert chi < len(common_) + 5 * math.sqrt(2 * len(common_)) + 5 and sum(v for k, v in draws.items() if k not in common_) < rare + 5 * math.sqrt(rare + 1) + 5
+    for n in (255, 256, 1000, 10**6):
+        assert abs(float(sharding.ln_factorial(n)) - math.lgamma(n + 1)) < 1e-9 * math.lgamma(n + 1)
+    assert abs(sharding.ln_factorial(300) - sharding._EXACT.ln(sharding.Decimal(math.factorial(300)))) < sharding.Decimal("1e-38")
+    big = sharding.hypergeometric(rng, 10**11, 10**12, 10**10)
+    assert abs(big - 10**10 / 11) < 8 * math.sqrt(10**10 * (1 / 11) * (10 / 11))
+
+
+def test_shards_are_uniform(spark):
+    """Over seeds, each row falls into each shard, and each shard's first place, about equally often."""
+    d = spark.range(30).selectExpr("id as doc_id")
+    where, first = collections.Counter(), collections.Counter()
+    for seed in range(40):
+        for r in sharding.uniform_shards(d, ["doc_id"], 3, seed=seed, blocks=4).collect():
+            where[r.doc_id % 5, r.shard] += 1
+            first[r.doc_id % 5] += r.slot == 0
+    assert len(where) == 15 and sum((n - 80) ** 2 / 80 for n in where.values()) < 36
+    assert sum((first[k] - 24) ** 2 / 24 for k in range(5)) < 24
+
+
+def test_words_are_letters(spark):
+    for text in ("½ ²", "①", "Ⅳ ⅷ", "〇", "٣ 12"):
+        assert language_id.words_of(text) == [] or text == "〇"
+    assert language_id.words_of("naïve x² ½b Straße_ñ ªº日本") == ["naïve", "x", "b", "straße", "ñ", "ªº日本"]
+    d = spark.createDataFrame([(1, "½ ²"), (2, "① Ⅳ"), (3, "aa ½ aa")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(d, {"xx": [97], "yy": [98]}).collect()}
+    assert got == {1: "und", 2: "und", 3: "xx"}
+
+
+def test_language_against_plain_distances(spark):
+    """Verdicts and scores from out-of-place sums counted one n-gram at a time."""
+    rng = random.Random(9)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(40))
+    rows_ = [(i, make("abcdefg" if i % 2 else "efghijk"), "xx" if i % 2 else "yy") for i in range(30)]
+    d = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    most = 50
+    profiles = language_id.fit(d, profile=most)
+
+    def grams(text):
+        count = collections.Counter()
+        for w in re.findall("[a-z]+", text):
+            p = f" {w} "
+            for n in (1, 2, 3):
+                for i in range(len(p) - n + 1):
+                    if p[i : i + n] != " ":
+                        code = 0
+                        for c in p[i : i + n]:
+                            code = code << 21 | ord(c)
+                        count[code] += 1
+        return count
+
+    top = lambda count: [g for g, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:most]]
+    plain = {k: top(sum((grams(t) for _, t, x in rows_ if x == k), collections.Counter())) for k in ("xx", "yy")}
+    assert profiles == plain
+    for r in language_id.predict(d, profiles, most).collect():
+        own = top(grams(r.text))
+        dist = {k: sum(abs(i - p.index(g)) if g in p else most for i, g in enumerate(own)) for k, p in plain.items()}
+        best = min(sorted(dist), key=dist.get)
+        assert r.lang_pred == best and abs(r.score - (1 - dist[best] / max(1, max(dist.values())))) < 1e-9
+
+
+def test_fill_against_exhaustive_sums():
+    """Few documents, small shares first: the sum is the nearest below the budget of all subsets."""
+    rng = np.random.default_rng(2)
+    for _ in range(80):
+        length = np.unique(rng.integers(2, 40, 5))
+        count = rng.integers(1, 4, len(length))
+        budget = int(rng.integers(1, (length * count).sum() + 1))
+        sums = {0}
+        for x, c in zip(length.tolist(), count.tolist(), strict=True):
+            sums = {s + k * x for s in sums for k in range(c + 1)}
+        took = mixing.fill(length, count, budget, 1 << 16)
+        # What the share of each length takes is given; the programme closes the rest as well as any subset of the others can.
+        share = np.array([int(c) * budget // int((length * count).sum()) for c in count])
+        rest = {0}
+        for x, c in zip(length.tolist(), (count - share).tolist(), strict=True):
+            rest = {s + k * x for s in rest for k in range(c + 1)}
+        base = int((share * length).sum())
+        assert (took >= 0).all() and (took <= count).all() and int((took * length).sum()) == base + max(s for s in rest if base + s <= budget) and int((took * length).sum()) in sums
+
+
+def test_decision_list_against_plain_rules():
+    """What the ordered expression says is what its conditions say, one row at a time; each condition is the one of most gain
+    among all thresholds."""
+    rng = np.random.default_rng(4)
+    x = {"a": rng.random(400), "b": rng.random(400), "c": np.round(rng.random(400), 1)}
+    bad = (x["a"] > 0.7) & (x["b"] < 0.6) | (x["c"] >= 0.9)
+    tests = quality_rules._grow(x, bad.astype(np.int64), 3, 3)
+    rows_ = np.arange(400)
+    for name, sign, t in tests:
+        p, n = bad[rows_].sum(), len(rows_)
+        best = -1
+        for k, v in x.items():
+            u = np.unique(v[rows_])
+            for cut in (u[1:] + u[:-1]) / 2:
+                for side in (v[rows_] <= cut, v[rows_] >= cut):
+                    hit = bad[rows_][side].sum()
+                    if hit and side.sum() >= 3:
+                        best = max(best, hit * (math.log2(hit / side.sum()) - math.log2(p / n)))
+        own = x[name][rows_] >= t if sign == ">=" else x[name][rows_] <= t
+        hit = bad[rows_][own].sum()
+        assert abs(hit * (math.log2(hit / own.sum()) - math.log2(p / n)) - best) < 1e-9
+        rows_ = rows_[own]
+    rules = quality_rules.learn(x, bad)
+    caught = np.zeros(400, bool)
+    for r in rules:
+        for i in range(400):
+            caught[i] |= all(x[n][i] >= t if s == ">=" else x[n][i] <= t for n, s, t in r.tests)
+    assert (caught == bad).mean() > 0.97 and (caught & ~bad).sum() <= 4
+
+
+def test_verdict_expression(spark):
+    rules = [quality_rules.Rule((("a", ">=", 0.5), ("b", "<=", 0.25)), 1.0, 1), quality_rules.Rule((("c", ">=", 2.0),), 1.0, 1)]
+    d = spark.createDataFrame([(0.5, 0.25, 9.0), (0.4, 0.1, 2.0), (0.4, 0.1, 1.9)], "a double, b double, c double")
+    assert [r[0] for r in d.select(quality_rules.verdict(rules)).collect()] == [1, 2, 0]
+
+
+def test_isotonic_against_exhaustive():
+    """Pools are the least-squares rising fit: every level is the mean of its rows and no cut of a pool would rise."""
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        raw, y = rng.permutation(30).astype(float), (rng.random(30) < 0.4).astype(float)
+        order = np.argsort(raw)
+        t = y[order]
+        # Min-max formula of isotonic regression.
+        want = [max(min(t[i : j + 1].mean() for j in range(k, 30)) for i in range(k + 1)) for k in range(30)]
+        xs, ys = toxicity.isotonic(raw, y)
+        got = np.interp(np.sort(raw), xs, ys)
+        assert (np.diff(got) >= -1e-12).all()
+        # The half row each way shrinks levels towards the middle, without changing their order.
+        for level in np.unique(np.round(want, 12)):
+            rows_ = np.flatnonzero(np.abs(np.array(want) - level) < 1e-9)
+            assert np.ptp(got[rows_]) < 1e-9 or len(np.unique(np.round(want, 9))) > 1
+
+
+def test_features_against_plain_counts():
+    model = toxicity.Model()
+    words = ["grumbol", "zorkit"]
+    h = np.array([toxicity._hash_words(w)[0] for w in words])
+    model.entries, model.weights = np.sort(h), np.array([2.0, 3.0])[np.argsort(h)]
+    texts = ["You GRUMBOL, you!! fine words", "", "nothing here", "gr0mb zorkit ZORKIT? a1b"]
+    data = "".join(texts).encode()
+    o = np.append(0, np.cumsum([len(t.encode()) for t in texts])).astype(np.int64)
+    got = dict(zip(toxicity.FEATURES, toxicity.features(np.frombuffer(data, np.uint8), o, model).T, strict=True))
+    for i, t in enumerate(texts):
+        w = re.findall("[A-Za-z0-9]+", t)
+        hits = [x for x in w if x.lower() in words]
+        one, size, letters = max(1, len(w)), max(1, len(t)), re.findall("[A-Za-z]", t)
+        assert abs(got["hits"][i] - math.log1p(len(hits))) < 1e-12 and abs(got["density"][i] - len(hits) / one) < 1e-12
+        assert abs(got["exclaim"][i] - t.count("!") / size) < 1e-12 and abs(got["question"][i] - t.count("?") / size) < 1e-12
+        assert abs(got["upper_share"][i] - sum(c.isupper() for c in letters) / max(1, len(letters))) < 1e-12
+        assert abs(got["shouted"][i] - sum(x.isupper() and len(x) > 1 for x in w) / one) < 1e-12
+        assert abs(got["second_density"][i] - sum(x.lower() == "you" for x in w) / one) < 1e-12
+
+
+def test_operators_keep_clashing_columns(spark, docs, empty):
+    """Extra columns named as working or new columns, in every operator that gives its input's columns back."""
+    extra = docs.selectExpr("*", "'k' as kept", "'t' as target", "'c' as Copies", "'n' as n_shingles", "'p' as predicted", "'r' as rule", "'l' as lang_pred", "'s' as slot", "'q' as __block")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, toxic int, quality int")
+    assert toxicity.accepted(extra, labels).columns == extra.columns
+    assert {r[0] for r in toxicity.accepted(extra, labels).select("predicted").collect()} <= {"p"}
+    for out, own in ((quality_rules.apply(extra, []), "rule"), (language_id.predict(extra, {"xx": [97]}), "lang_pred"), (sharding.uniform_shards(extra, ["doc_id"], 3), "slot")):
+        rest = [c for c in extra.columns if c.lower() not in {"rule", "kept", "lang_pred", "slot", "score", "shard"}]
+        assert set(rest) <= set(out.columns) and out.count() == docs.count()
+        assert out.select(own).first()[0] != {"rule": "r", "lang_pred": "l", "slot": "s"}[own]
+        assert len({c.lower() for c in out.columns}) == len(out.columns)
+    assert packing.pack(extra, capacity=64).count() == packing.pack(docs, capacity=64).count()
+    assert ppm.score(extra.where("doc_id < 10"), extra.where("doc_id < 5")).count() == docs.where("doc_id < 10").count()
+    for op in (lambda d: toxicity.accepted(d, labels), lambda d: quality_rules.apply(d, []), lambda d: sharding.uniform_shards(d, ["doc_id"], 3)):
+        assert op(empty).count() == 0
+
+
+def test_ppm_does_not_depend_on_partitions(docs):
+    """Several slices on shuffled input: the same scores by any dealing of rows."""
+    few = docs.where("doc_id < 60 and length(text) < 3000")
+    a, b = (sorted((r.doc_id, round(r.base_score, 6), round(r.score, 6)) for r in ppm.score(few.repartition(n), few, trie=900, head=40).collect()) for n in (2, 5))
+    assert a == b
+
+
+def test_checkpoint_folder_unset(tmp_path):
+    """Without spark.checkpoint.dir a local session stores its tables all the same."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = "from pyspark.sql import SparkSession\ns = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\nassert not s.conf.get('spark.checkpoint.dir', None)\nfrom marketspark.llm.common import discard, stored\nt = stored(s.range(3))\nassert t.count() == 3\nfolder = t.inputFiles()[0].rsplit('/', 1)[0].removeprefix('file:').replace('//', '')\nimport os\nassert os.path.isdir(folder)\ndiscard(t)\nassert not os.path.isdir(folder)\n"
+    r = subprocess.run([sys.executable, "-c", code], cwd=root, env={**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root}, capture_output=True, text=True, timeout=120)
+    assert r.returncode == 0, r.stderr[-2000:]
