@@ -1,7 +1,7 @@
 """Best-fit packing of token pieces into sequences by a swap-based local search.
 
 Documents are tokenized where they lie; only (document, piece, length, checksum) rows move. Groups of rows of bounded size
-are packed on their own. They start as they arrive: each row into the last bin if it has room, else into a new one. Then the
+are packed on their own. They start as they arrive, unsorted, each in the bin that it fits best. Then the
 emptiest bin gives to the fuller ones: a move into the bin that it fits best, or a one-for-one or two-for-one exchange that
 leaves the taker the least room. Every step raises the sum of squared fills, so bins run full or empty. The search ends after
 a round over all underfull bins that empties none, or where no bin can be saved. The underfull bins of all groups are then searched again together, round by
@@ -92,18 +92,27 @@ def tokenized(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     return cast.mapInArrow(run, schema)
 
 
-def next_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of item numbers in the order given: each item into the last bin if it has room, else into a new one."""
-    bins: list[list[int]] = []
-    room = 0
+def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Bins of item numbers in the order given: each item into the bin that it leaves the least room, else into a new one."""
+    open_: list[list[int]] = [[] for _ in range(capacity + 1)]
+    mask, bins = 0, []
     for i, x in enumerate(lengths):
         if x > capacity:
             raise ValueError(f"an item of {x} doesn't fit into {capacity}")
-        if x > room or not bins:
+        fit = mask >> x
+        if fit:
+            room = x + (fit & -fit).bit_length() - 1
+            b = open_[room].pop()
+            if not open_[room]:
+                mask ^= 1 << room
+        else:
+            b, room = len(bins), capacity
             bins.append([])
-            room = capacity
-        bins[-1].append(i)
+        bins[b].append(i)
         room -= x
+        if room:
+            open_[room].append(b)
+            mask |= 1 << room
     return bins
 
 
@@ -169,7 +178,7 @@ class Search:
             if x in tried:
                 continue
             tried.add(x)
-            fit = self.mask >> x
+            fit = (self.mask & ((2 << self.most) - 1)) >> x
             if fit:
                 taker = min(self.by[x + (fit & -fit).bit_length() - 1])
                 self.shift(giver, taker, [i], [])
@@ -216,25 +225,12 @@ class Search:
                 self._leave(giver)
                 # Fuller bins take: as the giver only loses and takers only gain, each step raises the sum of squares.
                 self.most = int(self.room[giver])
-                under = [k for s in self._rooms_above(self.most) for k in self.by[s]]
-                for k in under:
-                    self._leave(k)
                 while self.bins[giver] and self.step(giver):
                     pass
-                for k in under:
-                    self._enter(k)
                 self._enter(giver)
                 count -= not self.bins[giver]
         return [b for b in self.bins if b]
 
-    def _rooms_above(self, room: int) -> list[int]:
-        high, out = self.mask >> (room + 1), []
-        while high:
-            low = (high & -high).bit_length() - 1
-            out.append(room + 1 + low)
-            high &= high - 1
-        return out
-
 
 def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """The local search from the given bins: never more bins than before."""
@@ -249,7 +245,7 @@ def pack_group(pdf: pd.DataFrame, capacity: int, group: int) -> pd.DataFrame:
         cut = np.flatnonzero(pdf["sequence_id"].diff().fillna(1).to_numpy())
         start = [x.tolist() for x in np.split(np.arange(len(pdf)), cut[1:])]
     else:
-        start = next_fit(lengths, capacity)
+        start = best_fit(lengths, capacity)
     sequence, offset, full = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64), np.zeros(len(pdf), bool)
     for k, b in enumerate(improve(start, lengths, capacity)):
         at = 0

@@ -433,7 +433,11 @@ def test_local_search_alone_packs():
     sum of squared fills."""
     rng = np.random.default_rng(3)
     lengths = np.minimum(2048, np.maximum(1, rng.lognormal(5.5, 1.2, 3000).astype(int))).tolist()
-    start = packing.next_fit(lengths, 2048)
+    start: list[list[int]] = [[]]
+    for i, x in enumerate(lengths):  # each into the last bin or a new one
+        if sum(lengths[k] for k in start[-1]) + x > 2048:
+            start.append([])
+        start[-1].append(i)
     s = packing.Search(start, lengths, 2048)
     squares = lambda: int(((2048 - s.room[[k for k, b in enumerate(s.bins) if b]]) ** 2).sum())
     steps, last, shift = [], squares(), s.shift
@@ -449,6 +453,8 @@ def test_local_search_alone_packs():
     assert sorted(i for b in out for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 2048 for b in out)
     floor = -(-sum(lengths) // 2048)
     assert len(start) > 1.15 * floor and len(out) <= 1.01 * floor and min(steps) > 0
+    arrived = packing.best_fit(lengths, 2048)
+    assert floor <= len(packing.improve(arrived, lengths, 2048)) < len(arrived)
 
 
 def test_local_search_against_exhaustive():
@@ -463,7 +469,7 @@ def test_local_search_against_exhaustive():
     for _ in range(60):
         lengths = [rng.randint(1, 10) for _ in range(rng.randint(3, 9))]
         least = next(k for k in range(1, 10) if fits(sorted(lengths, reverse=True), [10] * k))
-        got = len(packing.improve(packing.next_fit(lengths, 10), lengths, 10))
+        got = len(packing.improve([[i] for i in range(len(lengths))], lengths, 10))
         assert got >= least
         worse += got > least
     assert worse <= 6
