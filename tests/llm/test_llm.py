@@ -83,6 +83,37 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.digest(empty).collect() == []
 
 
+def test_suffix_transform_decides(spark):
+    """Copies, near copies and shared passages in small and large groups: the same answer as brute force, whether pieces go
+    through the transform or by their hash."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    texts = [" ".join(word() for _ in range(80)) for _ in range(12)]
+    passage = " ".join(word() for _ in range(40))
+    data = [(i, t) for i, t in enumerate(texts + texts[:4] + texts[:2] + [t + " " + passage for t in texts[4:8]] + [texts[9].replace("a", "z", 3)])]
+    data += [(100 + i, texts[10]) for i in range(14)] + [(200 + i, f"{word()} {passage} {word()}") for i in range(20)]
+    few = spark.createDataFrame(data[:23], "doc_id long, text string").coalesce(1)
+    every = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    for d, rows_ in ((few, data[:23]), (every, data)):
+        want = removed([(i, t.encode()) for i, t in rows_])
+        assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(d).collect()} == {(i, *v) for (i, _), v in want.items()}
+
+
+def test_suffix_transform_is_needed():
+    """Without the transform, no piece loses a byte."""
+    t = b"x" + bytes(range(97, 117)) * 8
+    data, o = np.frombuffer(t + t[:150], np.uint8), np.array([0, len(t), len(t) + 150])
+    args = (data, o, np.zeros(2, np.int64), np.arange(2), np.zeros(2, np.int64), np.array([True, False]))
+    gone, seen = suffix_dedup.repeated(*args)
+    assert len(gone[0]) and len(seen[0])
+    made = suffix_dedup.columnwise
+    try:
+        suffix_dedup.columnwise = lambda *a: (np.zeros(0, np.int64),) * 3
+        assert [len(x[0]) for x in suffix_dedup.repeated(*args)] == [0, 0]
+    finally:
+        suffix_dedup.columnwise = made
+
+
 def test_suffix_dedup_same_id_other_text(spark):
     rng = random.Random(1)
     t = "".join(rng.choice("abcdefgh") for _ in range(300))
