@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketspark.plans import market, relational, rows, stream, text, timeseries
+from marketspark.plans import intelligence, market, relational, rows, stream, text, timeseries
 from marketspark.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "market", "relational", "rows", "stream", "text", "timeseries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "intelligence", "market", "relational", "rows", "stream", "text", "timeseries"]

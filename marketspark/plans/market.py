@@ -29,26 +29,6 @@ def metrics(spark, d):
     return out.na.fill(0, ["services", "brands", "prices", "changes", "runs", "ok"])
 
 
-@query("composite_score_10d", f"""
-WITH {_METRICS}, a AS (SELECT avg(services) s, (SELECT avg(price) FROM pricing) p FROM m), x AS (SELECT competitor_id,
-100 * least(1, services / greatest(s, 1) * 0.5 + least(1, prices / 10.0) * 0.3 + least(1, runs / 10.0) * 0.2) presence, 100 * least(1, least(1, changes / 15.0) * 0.6 + least(1, services / 20.0) * 0.4) growth,
-CASE WHEN mean IS NULL THEN 30 ELSE 100 * greatest(0, 1 - abs(mean / p - 1)) END pricing_, 100 * least(1, services / greatest(s * 1.5, 1)) diversity FROM m, a), t AS (SELECT competitor_id, round(0.3 * presence + 0.3 * growth + 0.2 * pricing_ + 0.2 * diversity, 4) AS overall FROM x)
-SELECT competitor_id, overall, row_number() OVER (ORDER BY overall DESC, competitor_id) AS rank, CASE WHEN percent_rank() OVER (ORDER BY overall DESC) <= 0.1 THEN 'A' WHEN percent_rank() OVER (ORDER BY overall DESC) <= 0.35 THEN 'B' WHEN percent_rank() OVER (ORDER BY overall DESC) <= 0.65 THEN 'C' WHEN percent_rank() OVER (ORDER BY overall DESC) <= 0.9 THEN 'D' ELSE 'F' END AS grade FROM t""", *_V)
-def _(spark, d):
-    m = metrics(spark, d)
-    a = m.agg(F.avg("services").alias("s")).crossJoin(pricing(spark, d).agg(F.avg("price").alias("p")))
-    one = F.lit(1.0)
-    presence = 100 * F.least(one, F.col("services") / F.greatest("s", one) * 0.5 + F.least(one, F.col("prices") / 10) * 0.3 + F.least(one, F.col("runs") / 10) * 0.2)
-    growth = 100 * F.least(one, F.least(one, F.col("changes") / 15) * 0.6 + F.least(one, F.col("services") / 20) * 0.4)
-    fair = F.when(F.col("mean").isNull(), 30.0).otherwise(100 * F.greatest(F.lit(0.0), 1 - F.abs(F.col("mean") / F.col("p") - 1)))
-    diverse = 100 * F.least(one, F.col("services") / F.greatest(F.col("s") * 1.5, one))
-    t = m.crossJoin(F.broadcast(a)).select("competitor_id", F.round(0.3 * presence + 0.3 * growth + 0.2 * fair + 0.2 * diverse, 4).alias("overall"))
-    w = Window.orderBy(F.desc("overall"))  # a row a competitor
-    p = F.percent_rank().over(w)
-    grade = F.when(p <= 0.1, "A").when(p <= 0.35, "B").when(p <= 0.65, "C").when(p <= 0.9, "D").otherwise("F")
-    return t.select("competitor_id", "overall", F.row_number().over(Window.orderBy(F.desc("overall"), "competitor_id")).cast("long").alias("rank"), grade.alias("grade"))
-
-
 @query("avg_of_ranks", f"""
 WITH {_METRICS}, r AS (SELECT competitor_id, row_number() OVER (ORDER BY services DESC, competitor_id) - 1 a, row_number() OVER (ORDER BY prices DESC, competitor_id) - 1 b, row_number() OVER (ORDER BY changes DESC, competitor_id) - 1 c, row_number() OVER (ORDER BY runs DESC, competitor_id) - 1 e FROM m)
 SELECT competitor_id, (a + b + c + e) / 4.0::DOUBLE AS mean_rank, CAST(round((a + b + c + e) / 4.0::DOUBLE + 1) AS BIGINT) AS position FROM r""", *_V)
@@ -58,32 +38,12 @@ def _(spark, d):
     return m.select("competitor_id", (sum(ranks[1:], ranks[0]) / 4.0).alias("mean_rank")).withColumn("position", F.round(F.col("mean_rank") + 1).cast("long"))
 
 
-@query("confidence_factors", f"""
-WITH {_METRICS} SELECT competitor_id, round(0.3 * CASE WHEN prices >= 100 THEN 1.0 WHEN prices >= 30 THEN 0.8 WHEN prices >= 10 THEN 0.6 WHEN prices > 0 THEN 0.4 ELSE 0.1 END + 0.25 * least(1, ln(1 + services) / ln(101)) + 0.25 * CASE WHEN runs > 0 THEN ok / runs::DOUBLE ELSE 0 END + 0.2 * greatest(0, 1 - COALESCE(sd / mean, 1)), 6) AS confidence FROM m""", *_V)
-def _(spark, d):
-    step = F.when(F.col("prices") >= 100, 1.0).when(F.col("prices") >= 30, 0.8).when(F.col("prices") >= 10, 0.6).when(F.col("prices") > 0, 0.4).otherwise(0.1)
-    full = F.least(F.lit(1.0), F.log1p("services") / F.log(F.lit(101.0)))
-    sure = F.when(F.col("runs") > 0, F.col("ok") / F.col("runs")).otherwise(0.0)
-    calm = F.greatest(F.lit(0.0), 1 - F.coalesce(F.col("sd") / F.col("mean"), F.lit(1.0)))
-    return metrics(spark, d).select("competitor_id", F.round(0.3 * step + 0.25 * full + 0.25 * sure + 0.2 * calm, 6).alias("confidence"))
-
-
 @query("record_state", f"WITH {_METRICS} SELECT competitor_id, CASE WHEN runs = 0 AND prices = 0 THEN 'NO_DATA' WHEN runs > 0 AND ok = 0 THEN 'FAILED' WHEN runs < 5 THEN 'STALE' ELSE 'VALID' END AS state FROM m", *_V)
 def _(spark, d):
     state = F.when((F.col("runs") == 0) & (F.col("prices") == 0), "NO_DATA").when((F.col("runs") > 0) & (F.col("ok") == 0), "FAILED").when(F.col("runs") < 5, "STALE").otherwise("VALID")
     return metrics(spark, d).select("competitor_id", state.alias("state"))
 
 
-@query("observation_quality", """
-WITH q AS (SELECT order_id, line, (length(service_name) > 5)::INT a, (price BETWEEN 10 AND 100000)::INT b, (discount IS NOT NULL)::INT c, row_number() OVER (PARTITION BY competitor_id, service_id, price ORDER BY order_id, line) > 1 dup FROM pricing)
-SELECT order_id, line, round((0.3 * a + 0.4 * b + 0.1 * c + 0.2 * (NOT dup)::INT)::DOUBLE, 4) AS score, dup AS is_duplicate, round(0.3 * a + 0.4 * b + 0.1 * c + 0.2 * (NOT dup)::INT, 4) >= 0.8 AND NOT dup AS ml_ready FROM q""", "pricing")
-def _(spark, d):
-    w = Window.partitionBy("competitor_id", "service_id", "price").orderBy("order_id", "line")
-    dup = F.row_number().over(w) > 1
-    score = F.round(0.3 * (F.length("service_name") > 5).cast("int") + 0.4 * F.col("price").between(10, 100000).cast("int") + 0.1 * F.col("discount").isNotNull().cast("int") + 0.2 * (~F.col("is_duplicate")).cast("int"), 4)
-    return pricing(spark, d).withColumn("is_duplicate", dup).withColumn("score", score).select("order_id", "line", "score", "is_duplicate", ((F.col("score") >= 0.8) & ~F.col("is_duplicate")).alias("ml_ready"))
-
-
 @query("price_conflict_resolution", """
 WITH u AS (SELECT service_id, list_sort(list(price))[len(list(price)) // 2 + 1] med FROM pricing GROUP BY 1), k AS (SELECT p.* FROM pricing p JOIN u USING (service_id) WHERE price <= 5 * med AND price >= 0.1 * med)
 SELECT service_id, count(*) AS kept, arg_max(price, (discount >= 0.1, day, order_id, line)) AS resolved FROM k GROUP BY 1""", "pricing")
@@ -104,16 +64,6 @@ def _(spark, d):
     return p.where("competitor_id = 1").groupBy("category").agg(F.avg("price").alias("own")).join(m, "category").select("category", F.round(own, 4).alias("own"), F.round(med, 4).alias("median"), F.round(100 * (own - med) / med, 4).alias("gap_pct"), F.round(100 * own / med, 4).alias("price_index"), pos.alias("position"))
 
 
-@query("strategic_risks", f"""
-WITH {_METRICS} SELECT competitor_id, r AS risk, CASE r WHEN 'volatility' THEN CASE WHEN sd / mean > 0.9 THEN 'HIGH' ELSE 'MEDIUM' END WHEN 'commoditization' THEN 'HIGH' WHEN 'reliability' THEN 'MEDIUM' ELSE 'LOW' END AS level
-FROM m, (SELECT unnest(['volatility', 'commoditization', 'reliability', 'overlap']) r) WHERE (r = 'volatility' AND sd / mean > 0.5) OR (r = 'commoditization' AND changes >= 10) OR (r = 'reliability' AND runs > 0 AND ok / runs::DOUBLE < 0.5) OR (r = 'overlap' AND brands >= 25)""", *_V)
-def _(spark, d):
-    cv = F.col("sd") / F.col("mean")
-    risk = lambda name, level, when: F.when(when, F.struct(F.lit(name).alias("risk"), level.alias("level")))
-    every = F.array(risk("volatility", F.when(cv > 0.9, "HIGH").otherwise("MEDIUM"), cv > 0.5), risk("commoditization", F.lit("HIGH"), F.col("changes") >= 10), risk("reliability", F.lit("MEDIUM"), (F.col("runs") > 0) & (F.col("ok") / F.col("runs") < 0.5)), risk("overlap", F.lit("LOW"), F.col("brands") >= 25))
-    return metrics(spark, d).select("competitor_id", F.explode(F.filter(every, lambda x: x.isNotNull())).alias("r")).select("competitor_id", "r.risk", "r.level")
-
-
 @query("opportunities_top15", """
 WITH g AS (SELECT 'pricing_gap' kind, category || '/' || brand AS subject, (max(m) - min(m)) / avg(m) AS score FROM (SELECT category, brand, competitor_id, avg(price) m FROM pricing GROUP BY 1, 2, 3) GROUP BY 2), w AS (SELECT 'whitespace', category || '/' || brand, 1.0 / count(DISTINCT competitor_id) FROM services GROUP BY 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, subject) rn FROM (SELECT * FROM g UNION ALL SELECT * FROM w)) SELECT kind, subject, round(score, 6) AS score FROM r WHERE rn <= 10 ORDER BY round(score, 6) DESC, kind, subject LIMIT 15""", "pricing", "services")
