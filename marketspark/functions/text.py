@@ -15,17 +15,46 @@ def normalize(x: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(_c(x)), "[^a-z0-9]+", " "))
 
 
-#: Words that name similarity leaves out, and short forms it writes out.
-STOP = ("the", "a", "an", "and", "of", "for", "in", "at", "to", "with", "service", "services")
-SHORT = {"ac": "air conditioning", "tv": "television", "wm": "washing machine", "ro": "water purifier"}
+#: Words that carry no identity in names: articles and the like, and qualifiers.
+STOP = (
+    "the", "a", "an", "and", "or", "of", "in", "at", "to", "for", "with", "by", "on", "is", "are", "was", "were",
+    "per", "its", "our", "your", "their", "this", "that", "these", "those",
+)
+REMOVABLE = (
+    "service", "services", "plan", "plans", "package", "packages", "tier", "tiers", "option", "options", "solution", "solutions",
+    "program", "programs", "system", "systems", "type", "types", "category", "categories", "feature", "features", "product", "products",
+)
+#: Short forms and what they stand for, in the order in which they are written out.
+SHORT = {
+    "hvac": "heating ventilation air conditioning",
+    "ac": "air conditioning",
+    "seo": "search engine optimization",
+    "it": "information technology",
+    "hr": "human resources",
+    "diy": "do it yourself",
+    "ui": "user interface",
+    "ux": "user experience",
+    "api": "application programming interface",
+    "saas": "software as a service",
+    "crm": "customer relationship management",
+    "erp": "enterprise resource planning",
+    "pos": "point of sale",
+    "roi": "return on investment",
+    "sla": "service level agreement",
+    "qa": "quality assurance",
+    "ai": "artificial intelligence",
+    "ml": "machine learning",
+    "devops": "development operations",
+    "bi": "business intelligence",
+}
 
 
 def entity_key(x: str | Column) -> Column:
-    """normalize(), short forms written out, stop words left out."""
-    c = normalize(x)
+    """Lower case, punctuation as spaces, short forms written out one after the other, stop and qualifier words left out."""
+    c = F.trim(F.regexp_replace(F.lower(_c(x)), r"[^\w]+|_", " "))
     for k, v in SHORT.items():
         c = F.regexp_replace(c, rf"\b{k}\b", v)
-    return F.array_join(F.filter(F.split(c, " "), lambda w: ~w.isin(*STOP) & (w != "")), " ")
+    return F.array_join(F.filter(F.split(c, "\\s+"), lambda w: ~w.isin(*STOP, *REMOVABLE) & (w != "")), " ")
 
 
 def tokens(x: str | Column) -> Column:

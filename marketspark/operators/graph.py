@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """df checkpointed to the context's folder: the one that is set, else spark.checkpoint.dir, else (a local session only) a
+    temporary one."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marketspark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="marketspark-"))
     return df.checkpoint()
 
 
@@ -44,6 +49,30 @@ def distances(edges: DataFrame, start: int, most: int = 5) -> DataFrame:
     return seen
 
 
+def hops(members: DataFrame, start: int, most: int = 5) -> DataFrame:
+    """node, depth: as distances(), over members (member, grp) of a group in common, from smaller to greater member. Pairs of a
+    group are never listed: a front's groups are gone through once a round."""
+    seen = members.sparkSession.range(1).select(F.lit(start).cast("long").alias("node"), F.lit(0).alias("depth"))
+    front = seen.select("node")
+    for k in range(1, most + 1):
+        least = front.join(members, front.node == members.member).groupBy("grp").agg(F.min("node").alias("from"))
+        near = members.join(least, "grp").where(F.col("member") > F.col("from")).select(F.col("member").alias("node")).distinct()
+        front = _cut(near.join(seen, "node", "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front.withColumn("depth", F.lit(k)))
+    return seen
+
+
+def neighbors(edges: DataFrame, node: int, *, reverse: bool = False, rel: str | None = None) -> DataFrame:
+    """direction, rel, node: what a node's edges (rel, src, dst) lead to, or come from, of one relation or all."""
+    mine, other = ("dst", "src") if reverse else ("src", "dst")
+    hit = edges.where(F.col(mine) == node)
+    if rel is not None:
+        hit = hit.where(F.col("rel") == rel)
+    return hit.select(F.lit("in" if reverse else "out").alias("direction"), "rel", F.col(other).cast("long").alias("node"))
+
+
 def influence(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """node, score: rank over directed edges, without giving back the rank of nodes that have no edges out."""
     nodes = _cut(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct())

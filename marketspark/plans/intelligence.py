@@ -73,7 +73,7 @@ dims AS (SELECT competitor_id,
 100 * (least(1, chg / 15.0::DOUBLE) * 0.6 + least(1, svc / 20.0::DOUBLE) * 0.4) AS growth_potential,
 100 * (least(1, chg / 10.0::DOUBLE) * 0.4 + least(1, cnt / 15.0::DOUBLE) * 0.3 + least(1, prc / 8.0::DOUBLE) * 0.3) AS innovation_score,
 CASE WHEN mean IS NULL THEN 30.0 ELSE 100 * greatest(0, 1 - abs(mean / p - 1)) END AS pricing_competitiveness,
-100 * least(1, 0.3 + CASE WHEN nation = 'INDIA' THEN 0.3 ELSE 0 END + CASE WHEN balance >= 5000 THEN 0.2 ELSE 0 END + CASE WHEN region = 'ASIA' THEN 0.2 ELSE 0 END)::DOUBLE AS regional_strength,
+100 * least(1, 0.3 + CASE WHEN nation = 'NATION_8' THEN 0.3 ELSE 0 END + CASE WHEN balance >= 5000 THEN 0.2 ELSE 0 END + CASE WHEN region = 'ASIA' THEN 0.2 ELSE 0 END)::DOUBLE AS regional_strength,
 100 * (least(1, soc / 5.0::DOUBLE) * 0.6 + least(1, src / 10.0::DOUBLE) * 0.4) AS digital_presence,
 100 * least(1, svc / greatest(s * 1.5, 1)) AS service_diversity,
 100 * (least(1, soc / 4.0::DOUBLE) * 0.5 + least(1, prc / 8.0::DOUBLE) * 0.5) AS customer_reach,
@@ -86,7 +86,7 @@ def ten_dimensions(spark, d) -> DataFrame:
     i = inputs(spark, d)
     means = i.agg(F.avg("svc").alias("s")).crossJoin(pricing(spark, d).agg(F.avg("price").alias("p")))
     one = F.lit(1.0)
-    tags = 0.3 + F.when(F.col("nation") == "INDIA", 0.3).otherwise(0.0) + F.when(F.col("balance") >= 5000, 0.2).otherwise(0.0) + F.when(F.col("region") == "ASIA", 0.2).otherwise(0.0)
+    tags = 0.3 + F.when(F.col("nation") == "NATION_8", 0.3).otherwise(0.0) + F.when(F.col("balance") >= 5000, 0.2).otherwise(0.0) + F.when(F.col("region") == "ASIA", 0.2).otherwise(0.0)
     dims = {
         "market_presence": F.least(one, F.col("svc") / F.greatest("s", one) * 0.5 + ratio("prc", 10) * 0.3 + ratio("src", 10) * 0.2),
         "growth_potential": ratio("chg", 15) * 0.6 + ratio("svc", 20) * 0.4,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketspark.operators import graph as G
 from marketspark.operators import relational as R
 from marketspark.operators.series import clamp
-from marketspark.plans.registry import query
+from marketspark.plans.registry import QUERIES, query
 from marketspark.sources.tables import change_events, collection_logs, competitors, pricing, services, table
 
 _METRICS = """m AS (SELECT c.competitor_id, COALESCE(s.n, 0) AS services, COALESCE(s.k, 0) AS brands, COALESCE(p.n, 0) AS prices, p.mean, p.sd, COALESCE(g.n, 0) AS changes, COALESCE(l.n, 0) AS runs, COALESCE(l.ok, 0) AS ok FROM competitors c
@@ -151,15 +151,14 @@ def _(spark, d):
     return g.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in (30, 60, 90, 180)]))).select("category", "horizon", F.round(F.col("m") * (1 + 0.0005 * F.col("horizon")), 4).alias("predicted"))
 
 
-def _edges(spark, d, which="service_id % 97 = 0"):
-    """Competitors that offer a common service, smaller id to greater. The SQL of the queries held against it (_EDGES) takes
-    the services of the default `which` only."""
-    s = services(spark, d).where(which).select("competitor_id", "service_id")
+def _edges(spark, d):
+    """Competitors that offer a common service, smaller id to greater."""
+    s = services(spark, d).select("competitor_id", "service_id")
     a, b = s.select("service_id", F.col("competitor_id").alias("src")), s.select("service_id", F.col("competitor_id").alias("dst"))
     return a.join(b, "service_id").where("src < dst").select("src", "dst").distinct()
 
 
-_EDGES = "e AS (SELECT DISTINCT a.competitor_id src, b.competitor_id dst FROM services a JOIN services b ON a.service_id = b.service_id AND a.competitor_id < b.competitor_id WHERE a.service_id % 97 = 0)"
+_EDGES = "e AS (SELECT DISTINCT a.competitor_id src, b.competitor_id dst FROM services a JOIN services b ON a.service_id = b.service_id AND a.competitor_id < b.competitor_id)"
 
 
 @query("graph_edges", """SELECT 'offers' AS rel, competitor_id AS src, service_id AS dst FROM services UNION ALL SELECT DISTINCT 'in_nation', competitor_id, (SELECT n.n_nationkey::BIGINT FROM nation n WHERE n.n_name = competitors.nation) FROM competitors""", "services", "competitors")
@@ -172,17 +171,20 @@ def _(spark, d):
 
 @query("connected_components", f"WITH RECURSIVE {_EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS node, src AS reach FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON r.reach = b.src) SELECT node, min(reach) AS component FROM r GROUP BY 1", "services")
 def _(spark, d):
-    return G.components(_edges(spark, d))
+    # Over competitors and services, which takes an edge an offer; services come after all competitors.
+    s = services(spark, d).select(F.col("competitor_id").alias("src"), (F.col("service_id") + F.lit(1 << 40)).alias("dst"))
+    shared = s.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1").select("dst")
+    return G.components(s.join(shared, "dst").select("src", "dst")).where(F.col("node") < 1 << 40)
 
 
 @query("bfs_path", f"WITH RECURSIVE {_EDGES}, r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 5) SELECT node, min(depth) AS depth FROM r GROUP BY 1", "services")
 def _(spark, d):
-    return G.distances(_edges(spark, d), 1)
+    return G.hops(services(spark, d).select(F.col("competitor_id").alias("member"), F.col("service_id").alias("grp")), 1)
 
 
 @query("influence_scores")
 def _(spark, d):
-    return G.influence(_edges(spark, d, "true"))
+    return G.influence(_edges(spark, d))
 
 
 @query("hidden_pairs", f"""WITH {_EDGES}, s AS (SELECT competitor_id, brand, count(*) n FROM services GROUP BY 1, 2 HAVING count(*) >= 3) SELECT a.competitor_id AS a, b.competitor_id AS b, count(*) AS shared FROM s a JOIN s b ON a.brand = b.brand AND a.competitor_id < b.competitor_id
@@ -192,3 +194,105 @@ def _(spark, d):
     a, b = s.select("brand", F.col("competitor_id").alias("a")), s.select("brand", F.col("competitor_id").alias("b"))
     p = a.join(b, "brand").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2")
     return p.join(_edges(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
+
+
+@query(
+    "neighbors",
+    """SELECT 'out' AS direction, 'offers' AS rel, service_id::BIGINT AS node FROM services WHERE competitor_id = 1 UNION ALL SELECT 'out', 'in_nation', n_nationkey::BIGINT FROM competitors JOIN nation ON nation = n_name WHERE competitor_id = 1
+UNION ALL SELECT 'in', 'offers', competitor_id FROM services WHERE service_id = 1""",
+    "services",
+    "competitors",
+)
+def _(spark, d):
+    """Neighbours of competitor 1, and what service 1 is a neighbour of."""
+    edges = QUERIES["graph_edges"](spark, d)
+    return G.neighbors(edges, 1).unionByName(G.neighbors(edges, 1, reverse=True, rel="offers"))
+
+
+@query(
+    "category_2hop",
+    """SELECT 'category' AS by_, category AS place, count(DISTINCT competitor_id) AS competitors, min(competitor_id) AS first FROM services GROUP BY 2
+UNION ALL SELECT 'nation', nation, count(*), min(competitor_id) FROM competitors GROUP BY 2""",
+    "services",
+    "competitors",
+)
+def _(spark, d):
+    n, first = F.count_distinct("competitor_id").alias("competitors"), F.min("competitor_id").alias("first")
+    a = services(spark, d).groupBy(F.col("category").alias("place")).agg(n, first).select(F.lit("category").alias("by_"), "place", "competitors", "first")
+    b = competitors(spark, d).groupBy(F.col("nation").alias("place")).agg(n, first).select(F.lit("nation").alias("by_"), "place", "competitors", "first")
+    return a.unionByName(b)
+
+
+_NODES = "nodes AS (SELECT 'competitor' AS type, competitor_id AS id, name FROM competitors UNION ALL SELECT 'service', p_partkey, p_name FROM part UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation)"
+
+
+def _nodes(spark, d):
+    c = competitors(spark, d).select(F.lit("competitor").alias("type"), F.col("competitor_id").alias("id"), "name")
+    p = table(spark, d, "part").select(F.lit("service").alias("type"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    n = table(spark, d, "nation").select(F.lit("nation").alias("type"), F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    return c.unionByName(p).unionByName(n)
+
+
+@query("node_search", f"WITH {_NODES} SELECT type, id, name FROM nodes WHERE contains(lower(name), 'an') ORDER BY type, id LIMIT 20", "competitors")
+def _(spark, d):
+    return _nodes(spark, d).where(F.contains(F.lower("name"), F.lit("an"))).orderBy("type", "id").limit(20)
+
+
+@query("graph_stats", f"WITH {_NODES} SELECT 'node' AS kind, type, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'edge', 'offers', count(*) FROM services UNION ALL SELECT 'edge', 'in_nation', count(*) FROM competitors", "competitors", "services")
+def _(spark, d):
+    nodes = _nodes(spark, d).groupBy("type").agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), "type", "n")
+    edges = QUERIES["graph_edges"](spark, d).groupBy(F.col("rel").alias("type")).agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), "type", "n")
+    return nodes.unionByName(edges)
+
+
+@query(
+    "graph_paths",
+    """WITH o AS (SELECT DISTINCT competitor_id, service_id FROM services), h AS (SELECT b.competitor_id AS dst, min(a.service_id) AS via FROM o a JOIN o b ON a.service_id = b.service_id WHERE a.competitor_id = 1 AND b.competitor_id > 1 GROUP BY 1)
+SELECT dst, via, '1>' || via || '>' || dst AS path FROM h""",
+    "services",
+)
+def _(spark, d):
+    """Competitor 1's shortest paths of two edges over the service of least id."""
+    s = services(spark, d).select("competitor_id", "service_id")
+    near = s.where("competitor_id = 1").select("service_id").join(s.where("competitor_id > 1"), "service_id")
+    near = near.groupBy(F.col("competitor_id").alias("dst")).agg(F.min("service_id").alias("via"))
+    return near.withColumn("path", F.concat(F.lit("1>"), "via", F.lit(">"), "dst"))
+
+
+@query(
+    "geo_outlook",
+    """WITH c AS (SELECT c_nationkey k, count(*) demand, avg(c_acctbal) wealth FROM customer GROUP BY 1), s AS (SELECT s_nationkey k, count(*) n FROM supplier GROUP BY 1),
+g AS (SELECT n_name AS nation, r_name AS region, COALESCE(demand, 0) AS demand, COALESCE(n, 0) AS present, COALESCE(wealth, 0) AS wealth FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN c ON c.k = n_nationkey LEFT JOIN s ON s.k = n_nationkey)
+SELECT nation, region, present, round(present / greatest(demand, 1)::DOUBLE, 6) AS saturation, round((1 - present / (SELECT max(present) FROM g)::DOUBLE) * demand / (SELECT max(demand) FROM g), 6) AS opportunity,
+round(demand / (SELECT sum(demand) FROM g)::DOUBLE, 6) AS coverage, round(wealth, 1) AS wealth, CAST(demand // 50 AS BIGINT) AS capacity, present > (SELECT avg(present) FROM g) AS hot,
+row_number() OVER (PARTITION BY region ORDER BY demand DESC, nation) AS path_place FROM g""",
+)
+def _(spark, d):
+    """A row a nation: saturation, opportunity, coverage, capacity, whether it is hot on the map, and its place among its
+    region's nations on the way of an expansion."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("demand"), F.avg("c_acctbal").alias("wealth"))
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("present"))
+    g = n.join(r, n.n_regionkey == r.r_regionkey).join(c, "n_nationkey", "left").join(s, "n_nationkey", "left").na.fill(0, ["demand", "present", "wealth"])
+    top = g.agg(F.max("present").alias("mp"), F.max("demand").alias("md"), F.sum("demand").alias("sd"), F.avg("present").alias("ap"))
+    place = F.row_number().over(Window.partitionBy("r_name").orderBy(F.desc("demand"), "n_name"))
+    return g.crossJoin(F.broadcast(top)).select(
+        F.col("n_name").alias("nation"), F.col("r_name").alias("region"), "present", F.round(F.col("present") / F.greatest("demand", F.lit(1)), 6).alias("saturation"),
+        F.round((1 - F.col("present") / F.col("mp")) * F.col("demand") / F.col("md"), 6).alias("opportunity"), F.round(F.col("demand") / F.col("sd"), 6).alias("coverage"),
+        F.round("wealth", 1).alias("wealth"), F.floor(F.col("demand") / 50).alias("capacity"), (F.col("present") > F.col("ap")).alias("hot"), place.cast("long").alias("path_place"),
+    )
+
+
+@query(
+    "city_assignment",
+    """WITH m AS (SELECT competitor_id, n_name AS city FROM competitors JOIN nation ON contains(name, '0' || n_nationkey) WHERE enabled)
+SELECT competitor_id, city, false AS is_default FROM m UNION ALL SELECT competitor_id, unnest(['NATION_0', 'NATION_1', 'NATION_2', 'NATION_3']), true FROM competitors WHERE competitor_id NOT IN (SELECT competitor_id FROM m)""",
+    "competitors",
+)
+def _(spark, d):
+    """Where a competitor is: places that its own names; where none does, four default ones, marked as such."""
+    c, n = competitors(spark, d), table(spark, d, "nation")
+    hit = c.where("enabled").join(F.broadcast(n), F.contains(F.col("name"), F.concat(F.lit("0"), F.col("n_nationkey").cast("string"))))  # 25 nations
+    hit = hit.select("competitor_id", F.col("n_name").alias("city"), F.lit(False).alias("is_default"))
+    rest = c.select("competitor_id").join(hit, "competitor_id", "left_anti")
+    return hit.unionByName(rest.select("competitor_id", F.explode(F.array(*[F.lit(x) for x in ("NATION_0", "NATION_1", "NATION_2", "NATION_3")])).alias("city"), F.lit(True).alias("is_default")))

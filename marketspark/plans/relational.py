@@ -50,13 +50,14 @@ def _(spark, d):
 
 @query("nulls_last_join", """
 SELECT o_orderkey AS log_id, c_name AS name, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END AS price,
-row_number() OVER (ORDER BY CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END DESC NULLS LAST, o_orderkey) AS rank
-FROM orders JOIN customer ON o_custkey = c_custkey QUALIFY rank <= 100""")
+row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END DESC NULLS LAST, o_orderkey) AS rank
+FROM orders JOIN customer ON o_custkey = c_custkey""")
 def _(spark, d):
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
     price = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice"))
-    top = o.withColumn("price", price).join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("log_id"), F.col("c_name").alias("name"), "price").orderBy(F.desc_nulls_last("price"), "log_id").limit(100)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("price"), "log_id")).cast("long"))
+    rows = o.withColumn("price", price).join(c, o.o_custkey == c.c_custkey)
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc_nulls_last("price"), "o_orderkey"))
+    return rows.select(F.col("o_orderkey").alias("log_id"), F.col("c_name").alias("name"), "price", place.cast("long").alias("rank"))
 
 
 @query("cross_join_catalog", """
@@ -108,17 +109,18 @@ def _(spark, d):
 
 
 @query("price_comparison_status", """
-WITH m AS (SELECT competitor_id, service_id, avg(CASE WHEN discount >= 0.1 THEN NULL ELSE price END) price FROM pricing WHERE competitor_id IN (1, 2, 3, 4) GROUP BY 1, 2)
+WITH m AS (SELECT competitor_id, service_id, avg(CASE WHEN discount >= 0.1 THEN NULL ELSE price END) price FROM pricing GROUP BY 1, 2)
 SELECT a.service_id, a.competitor_id AS a, b.competitor_id AS b, CASE WHEN a.price IS NULL THEN 'missing_a' WHEN b.price IS NULL THEN 'missing_b' WHEN a.price = 0 THEN 'zero_base' ELSE 'comparable' END AS status,
 CASE WHEN a.price IS NOT NULL AND b.price IS NOT NULL AND a.price <> 0 THEN round(b.price - a.price, 7) END AS diff,
 CASE WHEN a.price IS NOT NULL AND b.price IS NOT NULL AND a.price <> 0 THEN round(100 * (b.price - a.price) / a.price, 6) END AS pct
-FROM m a JOIN m b ON a.service_id = b.service_id AND a.competitor_id < b.competitor_id""", "pricing")
+FROM m a JOIN m b ON a.service_id = b.service_id AND a.competitor_id <> b.competitor_id WHERE a.competitor_id = 1""", "pricing")
 def _(spark, d):
-    m = pricing(spark, d).where(F.col("competitor_id").isin(1, 2, 3, 4)).groupBy("competitor_id", "service_id").agg(F.avg(F.when(F.col("discount") < 0.1, F.col("price"))).alias("price"))
+    m = pricing(spark, d).groupBy("competitor_id", "service_id").agg(F.avg(F.when(F.col("discount") < 0.1, F.col("price"))).alias("price"))
     a, b = (m.select("service_id", F.col("competitor_id").alias(x), F.col("price").alias(f"p{x}")) for x in "ab")
     status = F.when(F.col("pa").isNull(), "missing_a").when(F.col("pb").isNull(), "missing_b").when(F.col("pa") == 0, "zero_base").otherwise("comparable")
     ok = F.col("status") == "comparable"
-    return a.join(b, "service_id").where("a < b").withColumn("status", status).select("service_id", "a", "b", "status", F.when(ok, _round(F.col("pb") - F.col("pa"), 7)).alias("diff"), F.when(ok, _round(100 * (F.col("pb") - F.col("pa")) / F.col("pa"), 6)).alias("pct"))
+    # One competitor against all others: its services are the smaller side.
+    return a.where("a = 1").join(b.where("b <> 1"), "service_id").withColumn("status", status).select("service_id", "a", "b", "status", F.when(ok, _round(F.col("pb") - F.col("pa"), 7)).alias("diff"), F.when(ok, _round(100 * (F.col("pb") - F.col("pa")) / F.col("pa"), 6)).alias("pct"))
 
 
 @query("asof_next_observation", """
@@ -182,14 +184,15 @@ def _(spark, d):
 
 
 @query("substring_match", """
-WITH q AS (SELECT p_partkey, lower(p_name) n FROM part WHERE p_partkey <= 40), c AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) w FROM part)
+WITH q AS (SELECT p_partkey, lower(p_name) n FROM part), c AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) w FROM part)
 SELECT p_partkey, w AS matched, round(length(w) / length(n)::DOUBLE, 4) AS ratio FROM q JOIN c ON contains(n, w) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(w) / length(n)::DOUBLE DESC, w) = 1""")
 def _(spark, d):
     p = table(spark, d, "part")
     words = p.select(F.lower(F.split("p_name", " ")[0]).alias("w")).distinct()
-    hit = p.where("p_partkey <= 40").select("p_partkey", F.lower("p_name").alias("n")).join(words, F.contains(F.col("n"), F.col("w")))
-    hit = hit.withColumn("r", F.length("w") / F.length("n").cast("double"))
-    return R.dedup_ordered(hit, ["p_partkey"], [F.desc("r"), F.col("w")]).select("p_partkey", F.col("w").alias("matched"), _round(F.col("r")).alias("ratio"))
+    names = p.select(F.lower("p_name").alias("n")).distinct()  # each name is matched once, however many parts have it
+    hit = names.join(words, F.contains(F.col("n"), F.col("w"))).withColumn("r", F.length("w") / F.length("n").cast("double"))
+    best = R.dedup_ordered(hit, ["n"], [F.desc("r"), F.col("w")])
+    return p.withColumn("n", F.lower("p_name")).join(best, "n").select("p_partkey", F.col("w").alias("matched"), _round(F.col("r")).alias("ratio"))
 
 
 @query("grouped_counts", "SELECT o_custkey, o_orderstatus, count(*) AS n, sum(o_totalprice)::DECIMAL(38,2)::DOUBLE AS total FROM orders GROUP BY 1, 2")

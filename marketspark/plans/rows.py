@@ -63,10 +63,24 @@ def _(spark, d):
     return files.snapshots(table(spark, d, "pages")).select("page_id", "content_hash", "n_bytes")
 
 
-@query("incremental_skip", "SELECT page_id FROM pages WHERE page_id % 3 <> 0")
+_CRAWLS = """h AS (SELECT page_id, sha256(CASE WHEN page_id % 4 = 0 THEN html || ' ' ELSE html END) AS now, sha256(html) AS before, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host FROM pages)"""
+
+
+@query("incremental_skip", f"WITH {_CRAWLS} SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'new' WHEN now = before THEN 'unchanged' ELSE 'changed' END AS state FROM h")
+def _(spark, d):
+    """A second crawl against the first: every fourth page has other bytes now, every fifth was not in the first. The state is
+    found from urls and content hashes alone."""
+    p = table(spark, d, "pages")
+    now = p.withColumn("html", F.when(F.col("page_id") % 4 == 0, F.concat("html", F.lit(" "))).otherwise(F.col("html")))
+    return files.crawl_state(now, files.snapshots(p.where("page_id % 5 <> 0"))).select("page_id", "state")
+
+
+@query("page_freshness", f"WITH {_CRAWLS} SELECT host, count(*) AS pages, count(DISTINCT now) AS contents, count(*) FILTER (now <> before) AS changed FROM h GROUP BY 1")
 def _(spark, d):
     p = table(spark, d, "pages")
-    return files.new_pages(p, files.snapshots(p.where("page_id % 3 = 0"))).select("page_id")
+    now = F.sha2(F.when(F.col("page_id") % 4 == 0, F.concat("html", F.lit(" "))).otherwise(F.col("html")), 256)
+    h = p.select(F.lower(F.regexp_extract("url", r"^https?://([^/?#]+)", 1)).alias("host"), now.alias("now"), F.sha2("html", 256).alias("before"))
+    return h.groupBy("host").agg(F.count("*").alias("pages"), F.count_distinct("now").alias("contents"), F.count_if(F.col("now") != F.col("before")).alias("changed"))
 
 
 @query("age_days", "SELECT log_id, date_diff('day', day, (SELECT max(day) FROM logs)) AS age, CASE WHEN date_diff('day', day, (SELECT max(day) FROM logs)) <= 30 THEN 'fresh' WHEN date_diff('day', day, (SELECT max(day) FROM logs)) <= 365 THEN 'recent' ELSE 'old' END AS freshness FROM logs", "logs")

@@ -8,7 +8,7 @@ from marketspark.functions.price import currency, price
 from marketspark.functions.text import content_hash, entity_key, normalize, similarity, sorted_key, tokens
 from marketspark.functions.urls import normalize_url
 from marketspark.operators import documents as D
-from marketspark.operators import relational as R
+from marketspark.operators import retrieval
 from marketspark.plans.registry import query
 from marketspark.sources.tables import change_events, table
 
@@ -19,13 +19,14 @@ def _(spark, d):
 
 
 @query("name_similarity", r"""
-WITH t AS (SELECT p_partkey k, list_distinct(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ')) w FROM part WHERE p_partkey <= 60), x AS (SELECT a.k AS a, b.k AS b, len(list_intersect(a.w, b.w)) i, len(list_distinct(list_concat(a.w, b.w))) u, least(len(a.w), len(b.w)) l, len(a.w) <> len(b.w) d FROM t a JOIN t b ON a.k < b.k)
-SELECT a, b, round(CASE WHEN i / l::DOUBLE >= 0.8 AND d THEN greatest(i / u::DOUBLE, 0.9 * i / l::DOUBLE) ELSE i / u::DOUBLE END, 6) AS similarity FROM x WHERE i > 0""")
+WITH t AS (SELECT min(p_partkey) k, count(*) n, list_sort(list_distinct(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '))) w FROM part GROUP BY w), x AS (SELECT a.k AS a, b.k AS b, a.n AS n_a, b.n AS n_b, len(list_intersect(a.w, b.w)) i, len(list_distinct(list_concat(a.w, b.w))) u, least(len(a.w), len(b.w)) l, len(a.w) <> len(b.w) d FROM t a JOIN t b ON a.k < b.k)
+SELECT a, b, n_a, n_b, round(CASE WHEN i / l::DOUBLE >= 0.8 AND d THEN greatest(i / u::DOUBLE, 0.9 * i / l::DOUBLE) ELSE i / u::DOUBLE END, 6) AS similarity FROM x WHERE i > 0""")
 def _(spark, d):
-    t = table(spark, d, "part").where("p_partkey <= 60").select(F.col("p_partkey").alias("k"), tokens("p_name").alias("w"))
-    word = t.select("k", "w", F.explode("w").alias("x"))
-    a, b = word.select("x", F.col("k").alias("a"), F.col("w").alias("wa")), word.select("x", F.col("k").alias("b"), F.col("w").alias("wb"))
-    return a.join(b, "x").where("a < b").dropDuplicates(["a", "b"]).select("a", "b", F.round(similarity(F.col("wa"), F.col("wb")), 6).alias("similarity"))
+    # Parts of the same words are one name: its first part stands for them, with their number.
+    t = table(spark, d, "part").groupBy(F.array_sort(tokens("p_name")).alias("w")).agg(F.min("p_partkey").alias("k"), F.count("*").alias("n"))
+    word = t.select("k", "n", "w", F.explode("w").alias("x"))
+    a, b = (word.select("x", F.col("k").alias(c), F.col("n").alias(f"n_{c}"), F.col("w").alias(f"w{c}")) for c in "ab")
+    return a.join(b, "x").where("a < b").dropDuplicates(["a", "b"]).select("a", "b", "n_a", "n_b", F.round(similarity(F.col("wa"), F.col("wb")), 6).alias("similarity"))
 
 
 @query("catalog_audit", r"""
@@ -65,14 +66,11 @@ def _(spark, d):
 
 
 @query("cosine_top_k", """
-WITH q AS (SELECT vec_id AS query_id, embedding q FROM embeddings WHERE vec_id < 5), s AS (SELECT query_id, vec_id, round(list_dot_product(q::DOUBLE[], embedding::DOUBLE[]) / sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS score FROM q, embeddings WHERE vec_id <> query_id)
+WITH q AS (SELECT vec_id AS query_id, embedding q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(list_dot_product(q::DOUBLE[], embedding::DOUBLE[]) / sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS score FROM q, embeddings WHERE vec_id <> query_id)
 SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""")
 def _(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))  # five rows
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    s = e.crossJoin(F.broadcast(q)).where("vec_id <> query_id").select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("v"), F.col("v"))), 6).alias("score"))
-    return R.top_n_per_key(s, ["query_id"], [F.desc("score"), F.col("vec_id")], 10).drop("rank")
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return retrieval.nearest(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", 10)
 
 
 @query("keyword_search", """

@@ -42,3 +42,51 @@ def export_json(df: DataFrame, path: str) -> None:
 def new_pages(pages: DataFrame, state: DataFrame) -> DataFrame:
     """Pages whose (url, content hash) isn't in the state of an earlier crawl."""
     return snapshots(pages).join(state.select("url", "content_hash"), ["url", "content_hash"], "left_anti")
+
+
+def crawl_state(pages: DataFrame, state: DataFrame) -> DataFrame:
+    """pages with `state`: new (url not seen), unchanged (same content hash) or changed, against an earlier crawl's snapshots."""
+    seen = state.groupBy("url").agg(F.max_by("content_hash", "page_id").alias("_seen"))
+    now = snapshots(pages).join(seen, "url", "left")
+    return now.withColumn("state", F.when(F.col("_seen").isNull(), "new").when(F.col("_seen") == F.col("content_hash"), "unchanged").otherwise("changed")).drop("_seen")
+
+
+def metrics(tables: dict[str, DataFrame], path: str) -> None:
+    """A folder of JSON lines for each table, below path."""
+    for name, t in tables.items():
+        t.write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")
+
+
+def materialize(df: DataFrame, path: str, key: str, order: str) -> DataFrame:
+    """Appends df to the table at path and gives the newest row a key: results are kept, reads see the last."""
+    df.write.mode("append").parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("_row"))
+    return best.select("_row.*")
+
+
+def zips(latest: DataFrame, pages: DataFrame, key: str = "competitor_id") -> DataFrame:
+    """key, zip binary: an archive a competitor of its newest JSON and its pages' html. Archives are made where a key's rows
+    meet; pages beyond what fits into a row belong into several keys."""
+    a = latest.groupBy(key).agg(F.to_json(F.max(F.struct(*[c for c in latest.columns if c != key]))).alias("_json"))
+    b = pages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("page_id", "html"))).alias("_pages"))
+
+    def run(it):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for pdf in it:
+            out = []
+            for text, rows in zip(pdf["_json"], pdf["_pages"], strict=True):
+                buf = io.BytesIO()
+                with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(zipfile.ZipInfo("latest.json"), text or "{}")
+                    for r in [] if rows is None else rows:
+                        z.writestr(zipfile.ZipInfo(f"pages/{r['page_id']}.html"), r["html"] or "")
+                out.append(buf.getvalue())
+            yield pd.DataFrame({key: pdf[key], "zip": out})
+
+    kind = latest.schema[key].dataType.simpleString()
+    return a.join(b, key, "full_outer").mapInPandas(run, f"{key} {kind}, zip binary")
