@@ -431,10 +431,10 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     return out
 
 
-def dealt_keys(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+def dealt_keys(key: np.ndarray, node: np.ndarray, most: int = HOT) -> Iterator[pa.RecordBatch]:
     """packed() rows of the keys of some documents.
 
-    A key that many of these nodes share: the smallest stands for them under it, and a key of their own ties them, so that it
+    A key that more than `most` of these nodes share: the smallest stands for them under it, and a key of their own ties them, so that it
     takes a row each time. Such rows are marked: what they stand for is compared later."""
     order = np.lexsort((node, key))
     k, v = key[order], node[order]
@@ -442,7 +442,7 @@ def dealt_keys(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
     same[1:] = k[1:] == k[:-1]
     first = np.flatnonzero(~same)
     count = np.diff(np.append(first, len(k)))
-    hot = np.repeat(count > HOT, count)
+    hot = np.repeat(count > most, count)
     member = hot & same
     a, r = smallest(v[member], np.repeat(v[first], count)[member])
     tie = mix(r.view(np.uint64) + np.uint64(0x589965CC75374CC3)).view(np.int64)
