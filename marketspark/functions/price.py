@@ -21,7 +21,7 @@ def price(text: Column) -> Column:
     number = r"([0-9][0-9,]*(?:\.[0-9]{1,2})?)"
     t = F.lower(text)
     marked = F.nullif(F.regexp_extract(t, rf"(?:₹|\$|€|£|\brs\.?|\binr|\busd|\beur|\bgbp)\s*{number}", 1), F.lit(""))
-    after = F.nullif(F.regexp_extract(t, rf"{number}\s*(?:/-|₹|\$|€|£|rs\b|inr\b|usd\b|eur\b|gbp\b|rupees|dollars)", 1), F.lit(""))
+    after = F.nullif(F.regexp_extract(t, rf"{number}\s*(?:/-|₹|\$|€|£|rs\b|inr\b|usd\b|eur\b|euros?\b|gbp\b|pounds?\b|rupees?\b|dollars?\b)", 1), F.lit(""))
     bare = F.nullif(F.regexp_extract(t, rf"^\s*{number}\s*$", 1), F.lit(""))
 
     def value(c: Column) -> Column:

@@ -22,7 +22,7 @@ def normalize_url(u: Column) -> Column:
     """Lower-case scheme and host without www., default port or fragment; single slashes; no trailing slash; parameters
     sorted, without TRACKING. Null or not http(s): null."""
     s = F.trim(u)
-    scheme = F.lower(F.regexp_extract(s, r"^(https?)://", 1))
+    scheme = F.lower(F.regexp_extract(s, r"(?i)^(https?)://", 1))
     rest = F.regexp_replace(F.regexp_replace(s, r"(?i)^https?://", ""), r"#.*$", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(rest, r"^([^/?]*)", 1)), r"^www\.", "")
     host = F.when(scheme == "https", F.regexp_replace(host, r":443$", "")).otherwise(F.regexp_replace(host, r":80$", ""))

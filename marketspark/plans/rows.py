@@ -90,11 +90,12 @@ def _(spark, d):
     return o.crossJoin(F.broadcast(o.agg(F.max("day").alias("last")))).select("log_id", age.cast("long").alias("age"), F.when(age <= 30, "fresh").when(age <= 365, "recent").otherwise("old").alias("freshness"))
 
 
-@query("date_parse")
+@query("date_parse", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 4 THEN CAST(o_orderdate AS DATE) END AS day FROM orders")
 def _(spark, d):
-    rows = [(1, "2024-03-05"), (2, "05 March 2024"), (3, "Mar 5, 2024"), (4, "2024-03-05T10:00:00Z"), (5, "soon"), (6, None), (7, "5/3/2024")]
-    t, c = spark.createDataFrame(rows, "id long, text string"), F.col("text")
-    return t.select("id", F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("date") for f in ("yyyy-MM-dd", "dd MMMM yyyy", "MMM d, yyyy", "yyyy-MM-dd'T'HH:mm:ssX")]).alias("day"))
+    """Days as pages write them, made of the orders' dates: four formats that are read, and two texts that are none."""
+    forms = [*(F.date_format("o_orderdate", f) for f in ("yyyy-MM-dd", "dd MMMM yyyy", "MMM d, yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.lit("soon"), F.date_format("o_orderdate", "d/M/yyyy")]
+    t, c = table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*forms), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("text")), F.col("text")
+    return t.select("o_orderkey", F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("date") for f in ("yyyy-MM-dd", "dd MMMM yyyy", "MMM d, yyyy", "yyyy-MM-dd'T'HH:mm:ssX")]).alias("day"))
 
 
 @query("completeness_log", "SELECT competitor_id, round(least(1, ln(1 + count(*)) / ln(1 + 500)), 6) AS completeness FROM services GROUP BY 1", "services")
@@ -140,7 +141,10 @@ def _(spark, d):
     return files.sync(dim, want).select("name", "action")
 
 
-@query("page_entities")
+@query("page_entities", r"""SELECT page_id, name, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS key,
+array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(html, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), lambda x: lower(x)))), ',') AS emails,
+len(regexp_extract_all(html, '(?i)href="([^"]*)"', 1)) AS n_links, nullif(regexp_extract(html, '(?i)<meta[^>]*name="description"[^>]*content="([^"]*)"', 1), '') AS description
+FROM (SELECT page_id, html, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS name FROM pages WHERE html IS NOT NULL)""")
 def _(spark, d):
-    p = table(spark, d, "pages")
+    p = table(spark, d, "pages").where("html is not null")
     return p.select("page_id", D.title(F.col("html")).alias("name"), normalize(D.title(F.col("html"))).alias("key"), F.array_join(D.emails(F.col("html")), ",").alias("emails"), F.size(D.links(F.col("html"))).cast("long").alias("n_links"), F.nullif(F.regexp_extract("html", r'(?i)<meta[^>]*name="description"[^>]*content="([^"]*)"', 1), F.lit("")).alias("description"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketspark.functions.price import currency, price
-from marketspark.functions.text import content_hash, entity_key, normalize, similarity, sorted_key, tokens
-from marketspark.functions.urls import normalize_url
+from marketspark.functions.text import REMOVABLE, SHORT, STOP, content_hash, entity_key, normalize, similarity, sorted_key, tokens
+from marketspark.functions.urls import TRACKING, normalize_url
 from marketspark.operators import documents as D
 from marketspark.operators import retrieval
 from marketspark.plans.registry import query
@@ -38,11 +38,15 @@ def _(spark, d):
     return k.groupBy("key").agg(F.count("*").alias("n"), F.min("p_partkey").alias("canonical"), (hi - lo).alias("spread"), F.when(hi != lo, "price_conflict").when(F.count("*") > 1, "duplicate").otherwise("unique").alias("finding"))
 
 
-@query("parse_price")
+@query("parse_price", """SELECT p_partkey, CASE p_partkey % 7 WHEN 5 THEN NULL WHEN 6 THEN CASE WHEN floor(p_retailprice) < 30000 THEN floor(p_retailprice) END ELSE round(p_retailprice, 2) END AS price,
+(['INR', 'USD', 'INR', 'EUR', 'GBP', 'INR', 'INR'])[p_partkey % 7 + 1] AS currency FROM part""")
 def _(spark, d):
-    rows = [(1, "Rs. 1,499/- only"), (2, "from $25.50 a visit"), (3, "₹ 799 - ₹ 999"), (4, "499"), (5, "call 9876543210"), (6, None), (7, "12 euro"), (8, "45000")]
-    t = spark.createDataFrame(rows, "id long, text string")
-    return t.select("id", price(F.col("text")).alias("price"), currency(F.col("text")).alias("currency"))
+    """Prices as pages write them, made of the parts' prices: a mark before or after, thousands in groups, ranges, a phone number,
+    a bare number."""
+    p, money = F.col("p_retailprice"), F.format_string("%,.2f", F.round("p_retailprice", 2))
+    forms = [F.concat(F.lit("Rs. "), money, F.lit("/- only")), F.concat(F.lit("from $"), money, F.lit(" a visit")), F.concat(F.lit("₹ "), money, F.lit(" - ₹ 999999")), F.concat(money, F.lit(" euro")), F.concat(F.lit("£"), money), F.lit("call 9876543210"), F.floor(p).cast("string")]
+    t = table(spark, d, "part").select("p_partkey", F.element_at(F.array(*forms), (F.col("p_partkey") % 7 + 1).cast("int")).alias("text"))
+    return t.select("p_partkey", price(F.col("text")).alias("price"), currency(F.col("text")).alias("currency"))
 
 
 @query("content_hash_dedup", r"""
@@ -81,18 +85,28 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", hits.alias("hits")).where("hits > 0").orderBy(F.desc("hits"), "doc_id").limit(50).withColumn("score", F.round(F.col("hits") / 4.0, 4))
 
 
-@query("url_canonicalize")
+_URL = r"""u AS (SELECT page_id, lower(regexp_extract(trim(url), '(?i)^(https?)://', 1)) AS scheme, regexp_replace(regexp_replace(trim(url), '(?i)^https?://', ''), '#.*$', '') AS rest FROM pages),
+p AS (SELECT page_id, scheme, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.', ''), CASE WHEN scheme = 'https' THEN ':443$' ELSE ':80$' END, '') AS host,
+regexp_replace(regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/{2,}', '/', 'g'), '/$', '') AS path,
+array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT list_contains(TRACKING_LIST, lower(string_split(x, '=')[1])))), '&') AS q FROM u),
+n AS (SELECT page_id, CASE WHEN scheme <> '' THEN scheme || '://' || host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS url FROM p)""".replace("TRACKING_LIST", "[" + ", ".join(f"'{t}'" for t in TRACKING) + "]")
+
+
+@query("url_canonicalize", f"WITH {_URL} SELECT page_id, url FROM n")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", normalize_url(F.col("url")).alias("url"))
 
 
-@query("url_dedup")
+@query("url_dedup", f"WITH {_URL} SELECT url, min(page_id) AS first_id, count(*) AS copies FROM n GROUP BY 1")
 def _(spark, d):
     p = table(spark, d, "pages").select("page_id", normalize_url(F.col("url")).alias("url"))
     return p.groupBy("url").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
 
 
-@query("page_classify")
+_TITLE = "nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '')"
+
+
+@query("page_classify", f"SELECT page_id, CASE " + " ".join(f"WHEN regexp_matches(lower(concat_ws(' ', url, {_TITLE})), '{p}') THEN '{n}'" for n, p in D.PAGE_TYPES) + " ELSE 'other' END AS type FROM pages")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", D.page_type(F.col("url"), D.title(F.col("html"))).alias("type"))
 
@@ -102,7 +116,12 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", D.declared_language(F.col("html")).alias("lang"))
 
 
-@query("html_to_text")
+_CLEAN = """trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
+'(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<noscript\\b.*?</noscript\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+'&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \\t\\n\\r\\f]+', ' ', 'g'))"""
+
+
+@query("html_to_text", f"SELECT page_id, {_TITLE} AS title, {_CLEAN} AS text FROM pages")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", D.title(F.col("html")).alias("title"), D.clean(F.col("html")).alias("text"))
 
@@ -112,9 +131,9 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(D.links(F.col("html"))).alias("link"))
 
 
-@query("tech_detect")
+@query("tech_detect", "SELECT page_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(html), '{p}') THEN '{n}' END" for n, p in sorted(D.TECHNOLOGY.items())) + "], lambda x: x IS NOT NULL), ',') AS technologies FROM pages WHERE html IS NOT NULL")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", F.array_join(D.technologies(F.col("html")), ",").alias("technologies"))
+    return table(spark, d, "pages").where("html is not null").select("page_id", F.array_join(D.technologies(F.col("html")), ",").alias("technologies"))
 
 
 @query("contact_extract", r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), lambda x: lower(x)))), ',') AS emails FROM documents WHERE contains(text, '@')")
@@ -132,9 +151,18 @@ def _(spark, d):
     return D.resolve(table(spark, d, "part").select("p_brand", "p_name"), "p_brand", "p_name")
 
 
-@query("entity_keys")
+def _key_sql(c: str) -> str:
+    out = rf"trim(regexp_replace(lower({c}), '[^\w]+|_', ' ', 'g'))"
+    for k, v in SHORT.items():
+        out = rf"regexp_replace({out}, '\b{k}\b', '{v}', 'g')"
+    words = "[" + ", ".join(f"'{w}'" for w in (*STOP, *REMOVABLE)) + "]"
+    return rf"array_to_string(list_filter(regexp_split_to_array({out}, '\s+'), lambda w: w <> '' AND NOT list_contains({words}, w)), ' ')"
+
+
+@query("entity_keys", f"SELECT p_partkey, {_key_sql('text')} AS key FROM (SELECT p_partkey, 'The ' || p_name || (['', ' HVAC services', ' & AI plan', ' (SEO)'])[p_partkey % 4 + 1] AS text FROM part)")
 def _(spark, d):
-    return table(spark, d, "part").select("p_partkey", entity_key("p_name").alias("key"))
+    more = F.element_at(F.array(*[F.lit(x) for x in ("", " HVAC services", " & AI plan", " (SEO)")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", entity_key(F.concat(F.lit("The "), "p_name", more)).alias("key"))
 
 
 @query("window_rate_limit_batch", """
