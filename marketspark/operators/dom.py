@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Tags that a start tag of the same kind closes, and that a closing container closes.
 LOOSE = {"p", "li", "td", "th", "tr", "dt", "dd", "option"}
+#: Tags that end an open paragraph.
+ENDS_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol section table ul script".split())
 #: Tags whose text with that of their children is kept; others keep their own.
 WHOLE = set("a address b blockquote button dd dt figcaption h1 h2 h3 h4 h5 h6 label li option p script span strong summary td th time title".split())
 FIELDS = "node int, parent int, tag string, attrs map<string,string>, text string, up array<int>, above array<string>"
@@ -29,7 +31,8 @@ class _Nodes(HTMLParser):
         self.open: list[int] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in LOOSE and self.open and self.rows[self.open[-1]][2] == tag:
+        last = self.rows[self.open[-1]][2] if self.open else None
+        if last is not None and (last == tag in LOOSE or (last == "p" and tag in ENDS_P)):
             self.open.pop()
         up = self.open[::-1]
         row = [len(self.rows), up[0] if up else None, tag, {k: v or "" for k, v in attrs}, [], up, [self.rows[i][2] for i in up]]
