@@ -36,7 +36,7 @@ def test_b2_dormant_is_counted_from_the_parents(spark):
 
 
 def test_b8_models_go_by_their_names():
-    assert {"croston", "sba"} <= set(forecast.MODELS) and forecast.MODELS["endpoints"] is not forecast.MODELS["linear"]
+    assert {"croston", "sba"} <= set(forecast.MODELS) and forecast.MODELS["heuristic"] is not forecast.MODELS["linear_regression"]
 
 
 def test_b11_every_service_has_its_edge(spark):
