@@ -120,14 +120,17 @@ def repeating(i: int, name: str | None = None) -> float:
 
 
 def digest(docs: DataFrame, seed: int = 6) -> DataFrame:
-    """The contract's rows for op6."""
+    """The contract's rows for op6. Nulls, ties and empty tables: as in mix(); rows of size 0 have taken 0."""
     rows = stored(docs.select("doc_id", "source", words("text").alias("size")))
     out = mix(rows, "size", repeating, seed=seed)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: int = 6) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of docs."""
+    """The documents of the mix, each as often as it is taken, with the columns of docs, whatever their names.
+
+    Documents without words (null, empty) are never taken; a null source is one of its own; which of rows of equal doc_id and
+    size are taken is open; an empty table stays empty."""
     docs, names = set_aside(docs, ("source_size", "target", "copies"))
     (size,) = fresh(docs, "words")
     out = mix(docs.withColumn(size, words("text")), size, repeating, seed=seed)

@@ -21,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": packing.query,
 }
 
-#: None of these has a full answer in SQL: models, seeded draws and search; each has a brute-force test instead.
+#: None of these has a full answer in SQL: models, seeded draws and search; each is held against a plain version, exhaustive
+#: search or held-out accuracy in tests/llm instead.
 ORACLE_SQL: dict[str, str] = {}
