@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketspark.llm import language_id, media, mixing, ngram_join, packing, ppm, quality_rules, sharding, suffix_dedup, toxicity
+from marketspark.llm import language_id, media, mixing, negatives, ngram_join, packing, ppm, quality_rules, secrets, sharding, suffix_dedup, toxicity, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_copies": media.query,
@@ -19,8 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language_id.query,
     "op9_ppm_scoring": ppm.query,
     "op10_best_fit_packing": packing.query,
+    "op11_secret_scans": secrets.query,
+    "op12_spelling_variants": variants.query,
+    "op13_hard_negatives": negatives.query,
 }
 
-#: None of these has a full answer in SQL: models, seeded draws and search; each is held against a plain version, exhaustive
-#: search or held-out accuracy in tests/llm instead.
-ORACLE_SQL: dict[str, str] = {}
+#: The others have no full answer in SQL: models, seeded draws, search, checksums; each is held against a plain version,
+#: exhaustive search or held-out accuracy in tests/llm instead.
+ORACLE_SQL: dict[str, str] = {"op11_secret_scans": secrets.SQL, "op13_hard_negatives": negatives.SQL}
