@@ -67,6 +67,43 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     return pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, {FIELDS}")
 
 
+#: Tags whose text is no text of the page.
+SILENT = {"script", "style", "template", "noscript"}
+TREE = "node int, parent int, tag string, attrs map<string,string>, text string, up array<int>, above array<string>"
+
+
+class _Tree(_Nodes):
+    """As _Nodes, under a root, with a row of its own for each run of text outside SILENT tags; elements have no text."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.rows.append([0, None, "#root", {}, [], [], []])
+        self.open.append(0)
+
+    def handle_data(self, data: str) -> None:
+        last = self.rows[self.open[-1]][2]
+        if data.strip() and (last not in SILENT or last == "script"):
+            up = self.open[::-1]
+            self.rows.append([len(self.rows), up[0], "#script" if last == "script" else "#text", {}, [data], up, [self.rows[i][2] for i in up]])
+
+
+def tree(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key and TREE: the nodes of each page in document order, dealt by page. Node 0 is the root; #text rows hold the page's
+    text, spaces collapsed, and #script rows the source of scripts. Unclosed tags end with their parent, comments are left
+    out. Null or empty html is a root alone."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for k, text in zip(pdf[key], pdf[html], strict=True):
+                p = _Tree()
+                p.feed(text or "")
+                p.close()
+                rows = [[k, *r[:4], "".join(r[4]) if r[2] == "#script" else " ".join("".join(r[4]).split()), *r[5:]] for r in p.rows]
+                yield pd.DataFrame(rows, columns=[key, *(f.split(" ")[0] for f in TREE.split(", "))]).astype({"parent": "Int32"})
+
+    return pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, {TREE}").repartition(key)
+
+
 def attr(name: str) -> Column:
     return F.try_element_at("attrs", F.lit(name))
 

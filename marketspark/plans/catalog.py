@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketspark.plans import extraction, intelligence, market, relational, rows, search, stream, text, timeseries
+from marketspark.plans import extraction, intelligence, market, pages, relational, rows, search, stream, text, timeseries
 from marketspark.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "extraction", "intelligence", "market", "relational", "rows", "search", "stream", "text", "timeseries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "extraction", "intelligence", "market", "pages", "relational", "rows", "search", "stream", "text", "timeseries"]
