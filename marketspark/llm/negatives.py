@@ -5,7 +5,7 @@ wide integer, so that one multiplication by the anchor's (biased) component d ma
 sum over d has each candidate's sum in its field: fields are as wide as the largest possible sum, so none runs over. What
 the biases added is taken off again, and the scores are exact.
 
-Anchors are a stated query set. Tiles of CELL candidates by CELL anchors cover anchors times candidates; a tile keeps each
+Anchors are a stated query set. Tiles of some candidates by some anchors cover anchors times candidates; a tile keeps each
 anchor's best few, and the best of all tiles are picked by a ranked window. Positives come first; their scores are the
 bounds of the negatives, which a second pass over the tiles finds.
 """
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from marketspark.llm.common import release, stored, tidy
 
-#: Candidates and anchors of a tile.
-CELL = 1024
+#: Candidates and anchors of a tile, at most about: a tile gives a few rows for each of its anchors.
+CANDIDATES, ANCHORS = 4096, 256
 
 
 class Packed:
@@ -94,7 +94,7 @@ def _whole(column: pa.Array) -> list[np.ndarray]:
 
 def _tiles(anchors: DataFrame, rows: DataFrame, tile, schema: str) -> DataFrame:
     """tile(anchors, rows) of every pair of a share of anchors and a share of rows."""
-    na, nr = (max(1, -(-x.count() // CELL)) for x in (anchors, rows))
+    na, nr = max(1, -(-anchors.count() // ANCHORS)), max(1, -(-rows.count() // CANDIDATES))
     share = lambda n: F.pmod(F.xxhash64("key", F.lit("share")), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = anchors.withColumn("i", share(na)).withColumn("j", every(nr))

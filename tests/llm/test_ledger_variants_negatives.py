@@ -233,9 +233,10 @@ def some_vectors(n, dim=12, seed=5):
     return out
 
 
-@pytest.mark.parametrize("cell", [1024, 37])
+@pytest.mark.parametrize("cell", [(4096, 256), (90, 2)])
 def test_negatives_against_brute_force(spark, cell, monkeypatch):
-    monkeypatch.setattr(negatives, "CELL", cell)
+    monkeypatch.setattr(negatives, "CANDIDATES", cell[0])
+    monkeypatch.setattr(negatives, "ANCHORS", cell[1])
     rows = some_vectors(300)
     got = sorted(tuple(r[c] for c in NAMES) for r in negatives.digest(embeddings(spark, rows).repartition(3)).collect())
     assert got == plain_negatives(rows) and len(got) > 50
