@@ -89,7 +89,7 @@ def members(t: DataFrame, key: str) -> DataFrame:
     whole = units.join(b.select(key, F.col("body").alias("parent")).distinct(), [key, "parent"]).where("mode = 'atomic' and not parted").select(key, F.col("parent").alias("one"))
     # A body that isn't split is one block.
     out = b.join(found, [key, "node"], "left").join(whole, key, "left").where("s is not null or one is not null")
-    return out.select(key, "node", "parent", "tag", "attrs", "text", "up", "above", F.coalesce("s.block", "one").alias("block"), (F.coalesce("s.at", "one") == F.col("node")).alias("top"), F.coalesce("s.kind", F.lit("element")).alias("kind"))
+    return out.select(key, "node", "parent", "tag", "attrs", "text", "up", "above", F.coalesce("one", "s.block").alias("block"), (F.coalesce("one", "s.at") == F.col("node")).alias("top"), F.when(F.col("one").isNotNull(), "element").otherwise(F.col("s.kind")).alias("kind"))
 
 
 def words_score(text: Column, kind: str) -> Column:

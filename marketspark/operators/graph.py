@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df checkpointed to the context's folder: the one that is set, else spark.checkpoint.dir, else (a local session only) a
     temporary one."""
     spark = df.sparkSession
@@ -23,13 +23,13 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component: the smallest node reachable over edges taken both ways. Self loops keep lone nodes."""
-    both = _cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    label = _cut(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
+    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    label = cut(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
     while True:
         near = both.join(label, both.dst == label.node).groupBy("src").agg(F.min("component").alias("m"))
         new = label.join(near, label.node == near.src, "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = _cut(new.join(jump, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+        new = cut(new.join(jump, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
         if new.join(label.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty():
             return new
         label = new
@@ -42,7 +42,7 @@ def distances(edges: DataFrame, start: int, most: int = 5) -> DataFrame:
     front = seen
     for k in range(1, most + 1):
         front = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(k))
-        front = _cut(front)
+        front = cut(front)
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -57,7 +57,7 @@ def hops(members: DataFrame, start: int, most: int = 5) -> DataFrame:
     for k in range(1, most + 1):
         least = front.join(members, front.node == members.member).groupBy("grp").agg(F.min("node").alias("from"))
         near = members.join(least, "grp").where(F.col("member") > F.col("from")).select(F.col("member").alias("node")).distinct()
-        front = _cut(near.join(seen, "node", "left_anti"))
+        front = cut(near.join(seen, "node", "left_anti"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front.withColumn("depth", F.lit(k)))
@@ -75,13 +75,13 @@ def neighbors(edges: DataFrame, node: int, *, reverse: bool = False, rel: str |
 
 def influence(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """node, score: rank over directed edges, without giving back the rank of nodes that have no edges out."""
-    nodes = _cut(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct())
+    nodes = cut(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct())
     n = nodes.count()
-    out = _cut(edges.groupBy("src").agg(F.count("*").alias("k")).join(edges, "src").select("src", "dst", "k"))
+    out = cut(edges.groupBy("src").agg(F.count("*").alias("k")).join(edges, "src").select("src", "dst", "k"))
     rank = nodes.withColumn("score", F.lit(1.0 / max(1, n)))
     for k in range(rounds):
         part = out.join(rank, out.src == rank.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") / F.col("k")).alias("s"))
         rank = nodes.join(part, "node", "left").select("node", (F.lit((1 - damping) / max(1, n)) + damping * F.coalesce("s", F.lit(0.0))).alias("score"))
         if k % 5 == 4:
-            rank = _cut(rank)
+            rank = cut(rank)
     return rank

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketspark.functions.vocabulary import FAQ_START, PRICE_TEXT, SEGMENT_TYPES, SEGMENT_WORDS
 from marketspark.operators import blocks, dom
+from marketspark.operators.graph import cut
 from marketspark.plans.registry import query
 from marketspark.sources.tables import table
 
@@ -14,7 +15,8 @@ K = "page_id"
 
 
 def page_tree(spark, d):
-    return dom.tree(table(spark, d, "pages"), K)
+    """The pages' nodes, parsed once and dealt by page, so that no later step parses or shuffles them again."""
+    return cut(dom.tree(table(spark, d, "pages"), K))
 
 
 def _words(column: str, kind: str) -> str:
