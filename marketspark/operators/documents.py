@@ -100,28 +100,10 @@ def blocks(pages: DataFrame) -> DataFrame:
 
 
 def resolve(names: DataFrame, key: str, name: str, threshold: float = 0.55) -> DataFrame:
-    """Greedy entity resolution within `key`: longest names first, each joins the first cluster whose seed is as similar as
-    the threshold. key, name, canonical. Groups are meant to be a page's or block's names."""
+    """key, name, canonical: matching.resolve() of names within key, compared by their entity keys."""
     from marketspark.functions.text import entity_key
+    from marketspark.operators import matching
 
-    def similar(a, b):
-        if not a or not b:
-            return 0.0
-        both, all_, least = len(a & b), len(a | b), min(len(a), len(b))
-        jac = both / all_
-        return max(jac, 0.9 * both / least) if both / least >= 0.8 and len(a) != len(b) else jac
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_n=pdf[name].str.len()).sort_values(["_n", name], ascending=[False, True], kind="stable")
-        seeds, out = [], []
-        for text, toks in zip(pdf[name], pdf["_tokens"], strict=True):
-            t = set(toks.split())
-            hit = next((s for s, st in seeds if similar(st, t) >= threshold), None)
-            if hit is None:
-                seeds.append((text, t))
-                hit = text
-            out.append(hit)
-        return pdf.assign(canonical=out)[[key, name, "canonical"]]
-
-    rows = names.select(key, name).where(F.col(name).isNotNull()).distinct().withColumn("_tokens", entity_key(name))
-    return rows.groupBy(key).applyInPandas(run, f"{key} {names.schema[key].dataType.simpleString()}, {name} string, canonical string")
+    rows = names.select(key, F.col(name).alias("name"), F.split(entity_key(name), " ").alias("tokens"))
+    rows = rows.withColumn("tokens", F.filter("tokens", lambda x: x != ""))
+    return matching.resolve(rows, [key], threshold).withColumnRenamed("name", name)

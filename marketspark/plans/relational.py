@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketspark.operators import relational as R
+from marketspark.operators.matching import contained
 from marketspark.plans.registry import query
 from marketspark.sources.tables import change_events, collection_logs, competitors, pricing, services, table
 
@@ -206,7 +207,7 @@ def _(spark, d):
     p = table(spark, d, "part")
     words = p.select(F.lower(F.split("p_name", " ")[0]).alias("w")).distinct()
     names = p.select(F.lower("p_name").alias("n")).distinct()  # each name is matched once, however many parts have it
-    hit = names.join(words, F.contains(F.col("n"), F.col("w"))).withColumn("r", F.length("w") / F.length("n").cast("double"))
+    hit = contained(names.withColumnRenamed("n", "text"), words.withColumnRenamed("w", "name"), []).withColumnsRenamed({"text": "n", "name": "w"}).withColumn("r", F.length("w") / F.length("n").cast("double"))
     best = R.dedup_ordered(hit, ["n"], [F.desc("r"), F.col("w")])
     return p.withColumn("n", F.lower("p_name")).join(best, "n").select("p_partkey", F.col("w").alias("matched"), _round(F.col("r")).alias("ratio"))
 
