@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketspark.operators import graph as G
+from marketspark.operators.selection import at_ranks
 from marketspark.operators import relational as R
 from marketspark.operators.series import clamp
 from marketspark.plans.registry import QUERIES, query
@@ -49,7 +50,7 @@ WITH u AS (SELECT service_id, list_sort(list(price))[len(list(price)) // 2 + 1]
 SELECT service_id, count(*) AS kept, arg_max(price, (discount >= 0.1, day, order_id, line)) AS resolved FROM k GROUP BY 1""", "pricing")
 def _(spark, d):
     p = pricing(spark, d)
-    u = p.groupBy("service_id").agg(F.array_sort(F.collect_list("price")).alias("a")).select("service_id", F.element_at("a", F.floor(F.size("a") / 2).cast("int") + 1).alias("med"))
+    u = at_ranks(p, ["service_id"], "price", lambda n: [F.floor(n / 2) + 1]).select("service_id", F.col("at")[0].alias("med"))
     return p.join(u, "service_id").where("price <= 5 * med and price >= 0.1 * med").groupBy("service_id").agg(F.count("*").alias("kept"), F.max_by("price", F.struct(F.col("discount") >= 0.1, "day", "order_id", "line")).alias("resolved"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketspark.operators import relational as R
 from marketspark.operators.matching import contained
+from marketspark.operators.selection import at_ranks, quantiles
 from marketspark.plans.registry import query
 from marketspark.sources.tables import change_events, collection_logs, competitors, pricing, services, table
 
@@ -276,13 +277,13 @@ WITH m AS (SELECT service_id, list_sort(list(price))[len(list(price)) // 2 + 1]
 SELECT p.order_id, p.line, p.price, m.med AS upper_median FROM pricing p JOIN m USING (service_id) WHERE p.price > 1.05 * m.med OR p.price < 0.95 * m.med""", "pricing")
 def _(spark, d):
     p = pricing(spark, d)
-    m = p.groupBy("service_id").agg(F.array_sort(F.collect_list("price")).alias("a")).where("size(a) >= 3").select("service_id", F.element_at("a", F.floor(F.size("a") / 2).cast("int") + 1).alias("upper_median"))
+    m = at_ranks(p, ["service_id"], "price", lambda n: [F.floor(n / 2) + 1]).where("n >= 3").select("service_id", F.col("at")[0].alias("upper_median"))
     return p.join(m, "service_id").where("price > 1.05 * upper_median or price < 0.95 * upper_median").select("order_id", "line", "price", "upper_median")
 
 
 @query("true_median_by_key", "SELECT service_id, median(price) AS median, min(price) AS low, max(price) AS high, round(avg(price), 4) AS mean FROM pricing GROUP BY 1", "pricing")
 def _(spark, d):
-    return pricing(spark, d).groupBy("service_id").agg(F.median("price").alias("median"), F.min("price").alias("low"), F.max("price").alias("high"), _round(F.avg("price")).alias("mean"))
+    return quantiles(pricing(spark, d), ["service_id"], "price", 0.5).select("service_id", F.col("q")[0].alias("median"), "low", "high", _round(F.col("mean")).alias("mean"))
 
 
 @query("quartile_tier_spread", """
@@ -290,14 +291,14 @@ WITH a AS (SELECT brand, list_sort(list(price)) v FROM pricing GROUP BY 1), q AS
 SELECT p.brand, round(avg(price) FILTER (price <= lo), 4) AS budget, round(avg(price) FILTER (price >= hi), 4) AS premium FROM pricing p JOIN q USING (brand) GROUP BY 1""", "pricing")
 def _(spark, d):
     p = pricing(spark, d)
-    a = p.groupBy("brand").agg(F.array_sort(F.collect_list("price")).alias("v"))
-    q = a.select("brand", F.expr("element_at(v, cast(size(v) div 4 as int) + 1)").alias("lo"), F.expr("element_at(v, cast(3 * size(v) div 4 as int) + 1)").alias("hi"))
+    q = at_ranks(p, ["brand"], "price", lambda n: [F.floor(n / 4) + 1, F.floor(3 * n / 4) + 1]).select("brand", F.col("at")[0].alias("lo"), F.col("at")[1].alias("hi"))
     return p.join(q, "brand").groupBy("brand").agg(_round(F.avg(F.when(F.col("price") <= F.col("lo"), F.col("price")))).alias("budget"), _round(F.avg(F.when(F.col("price") >= F.col("hi"), F.col("price")))).alias("premium"))
 
 
 @query("percentile_linear", "SELECT category, round(quantile_cont(price, 0.5), 4) AS p50, round(quantile_cont(price, 0.95), 4) AS p95, round(quantile_cont(price, 0.99), 4) AS p99 FROM pricing GROUP BY 1", "pricing")
 def _(spark, d):
-    return pricing(spark, d).groupBy("category").agg(*[_round(F.percentile("price", q)).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    q = quantiles(pricing(spark, d).select("category", "price"), ["category"], "price", 0.5, 0.95, 0.99)
+    return q.select("category", *[_round(F.col("q")[k]).alias(n) for k, n in enumerate(("p50", "p95", "p99"))])
 
 
 @query("histogram_last_1000", """
