@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketspark.functions.vocabulary import FAQ_START, PRICE_TEXT, SEGMENT_TYPES, SEGMENT_WORDS
-from marketspark.operators import blocks, dom
+from marketspark.functions.page_types import ADDRESSES, HEADINGS, TITLE_SHARE
+from marketspark.operators import blocks, classification, dom, pictures
 from marketspark.operators.graph import cut
 from marketspark.plans.registry import query
 from marketspark.sources.tables import table
@@ -96,3 +97,62 @@ def _(spark, d):
     texts = t.where(F.array_contains("above", "body") & (F.col("tag") == "#text")).select(K, "node")
     n = F.coalesce("n", F.lit(0))
     return texts.join(held, [K, "node"], "left").groupBy(K).agg(F.count("*").alias("texts"), F.count_distinct("block").alias("blocks"), F.bool_and(n == 1).alias("whole"))
+
+
+def _struct(scores: dict[str, str]) -> str:
+    """SQL for the best type of a signal: struct of score, order and type, null for none above 0."""
+    from marketspark.functions.page_types import PAGE_TYPES
+
+    each = ", ".join(f"{{'s': ({x})::DOUBLE, 'o': {-PAGE_TYPES.index(t)}, 't': '{t}'}}" for t, x in scores.items())
+    return f"list_max(list_filter([{each}], lambda x: x.s > 0))"
+
+
+def _first(column: str, patterns: dict[str, float]) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{p}') THEN {w}" for p, w in patterns.items()) + " ELSE 0 END"
+
+
+def _most(column: str, patterns: dict[str, float]) -> str:
+    return "greatest(0, " + ", ".join(f"CASE WHEN regexp_matches({column}, '{p}') THEN {w} ELSE 0 END" for p, w in patterns.items()) + ")"
+
+
+_TOLD = {t: {p.replace("\\", ""): w for p, w in ps.items() if not p.startswith("^")} for t, ps in ADDRESSES.items()}
+
+
+@query(
+    "page_types",
+    f"""WITH x AS (SELECT page_id, lower(url) AS u, lower({_plain("regexp_extract(html, '<h1>(.*?)(</h1>|$)', 1, 's')")}) AS h, lower({_plain("regexp_extract(html, '<title>(.*?)(</title>|$)', 1, 's')")}) AS t FROM pages),
+    v AS (SELECT page_id, list_filter([{_struct({t: _first("u", p) for t, p in ADDRESSES.items()})}, {_struct({t: _most("h", p) for t, p in HEADINGS.items()})}, {_struct({t: f"round({TITLE_SHARE} * {_most('t', p)}, 9)" for t, p in _TOLD.items()})}], lambda b: b IS NOT NULL) AS b FROM x),
+    e AS (SELECT page_id, len(b) AS n, unnest(b) AS w FROM v), g AS (SELECT page_id, any_value(n) AS n, w.t AS t, any_value(w.o) AS o, sum(w.s) AS s FROM e GROUP BY page_id, w.t),
+    top AS (SELECT page_id, arg_max(t, (s, o)) AS type, max(s) AS s, any_value(n) AS n FROM g GROUP BY page_id)
+    SELECT page_id, coalesce(type, 'unknown') AS type, round(coalesce(least(0.95, s / n), 0.1)::DOUBLE, 6) AS confidence, coalesce(n, 0)::INTEGER AS signals FROM pages LEFT JOIN top USING (page_id)""",
+)
+def _(spark, d):
+    c = classification.page_types(table(spark, d, "pages"), page_tree(spark, d), K)
+    return c.select(K, "type", F.round("confidence", 6).alias("confidence"), F.size("signals").alias("signals"))
+
+
+_CELL = f"(('0x' || substr(md5(w), 1, 6))::BIGINT % {pictures.CELLS})"
+
+
+@query(
+    "picture_change",
+    f"""WITH p AS (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS a, regexp_replace(regexp_replace(html, '<p>', '<p>Breaking '), '<[^>]*>', ' ', 'g') AS b FROM pages WHERE html IS NOT NULL),
+    w AS (SELECT page_id, 'a' AS side, unnest(string_split_regex(a, '\\s+')) AS w FROM p UNION ALL SELECT page_id, 'b', unnest(string_split_regex(b, '\\s+')) FROM p),
+    c AS (SELECT page_id, side, {_CELL} AS c, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL), m AS (SELECT page_id, side, map(list(c), list(n)) AS m FROM c GROUP BY ALL),
+    h AS (SELECT page_id, side, list_transform(range(0, {pictures.ROWS * pictures.COLUMNS}), lambda k: coalesce(m[(k // {pictures.COLUMNS} * {pictures.COLUMNS + 1} + k % {pictures.COLUMNS})::BIGINT], 0) < coalesce(m[(k // {pictures.COLUMNS} * {pictures.COLUMNS + 1} + k % {pictures.COLUMNS} + 1)::BIGINT], 0)) AS bits FROM m),
+    o AS (SELECT a.page_id, a.bits AS a, b.bits AS b, lag(a.bits) OVER (PARTITION BY a.page_id % 16 ORDER BY a.page_id) AS before FROM (SELECT * FROM h WHERE side = 'a') a JOIN (SELECT * FROM h WHERE side = 'b') b USING (page_id))
+    SELECT page_id, len(list_filter(list_zip(a, b), lambda z: z[1] <> z[2]))::INTEGER AS edited, CASE WHEN before IS NOT NULL THEN len(list_filter(list_zip(a, before), lambda z: z[1] <> z[2]))::INTEGER END AS other,
+      len(list_filter(list_zip(a, b), lambda z: z[1] <> z[2])) > {pictures.SAME} AS changed FROM o""",
+)
+def _(spark, d):
+    """Distances of each page's picture from that of the page with a word more, and from that of another page."""
+    from pyspark.sql import Window
+
+    p = table(spark, d, "pages").where("html is not null")
+    plain = lambda h: F.regexp_replace(h, "<[^>]*>", " ")
+    both = p.select(K, F.explode(F.create_map(F.lit("a"), plain(F.col("html")), F.lit("b"), plain(F.regexp_replace("html", "^((?s).*?)<p>", "$1<p>Breaking ")))).alias("side", "text"))
+    h = pictures.drawn(both, [K, "side"], "text").select(K, "side", pictures.difference_hash(F.col("grid")).alias("h"))
+    wide = h.groupBy(K).agg(F.max(F.when(F.col("side") == "a", F.col("h"))).alias("a"), F.max(F.when(F.col("side") == "b", F.col("h"))).alias("b"))
+    before = F.lag("a").over(Window.partitionBy(F.col(K) % 16).orderBy(K))
+    edited = pictures.distance(F.col("a"), F.col("b"))
+    return wide.withColumn("before", before).select(K, edited.alias("edited"), pictures.distance(F.col("a"), F.col("before")).alias("other"), (edited > pictures.SAME).alias("changed"))

@@ -218,3 +218,40 @@ def test_merged_fills_only_what_is_open(spark):
     f = spark.createDataFrame(rows, "page_id int, pass int, strategy string, confidence double, path array<int>, kind string, name string, value string").selectExpr("*", "null description", "null category", "null price", "null high", "null currency")
     got = sorted((r.page_id, r.name, r.value or "", r.strategy) for r in structured.merged(f, "page_id").collect())
     assert got == [(1, "S", "", "schema_org"), (1, "company_name", "A", "json_ld"), (1, "contact_email", "first@x", "regex"), (1, "social", "u1", "x"), (1, "social", "u2", "y"), (2, "company_name", "T", "metadata")]
+
+
+@pytest.mark.parametrize(
+    ("url", "html", "kind", "confidence", "signals"),
+    [
+        ("https://a.com/", "<p>x</p>", "homepage", 0.9, ["url"]),
+        ("https://a.com/pricing", "<title>Pricing</title><h1>Pricing</h1>", "pricing", 0.8867, ["heading", "meta", "url"]),
+        ("https://a.com/blog/1", '<meta property="og:type" content="article"><script type="application/ld+json">[{"@type":"BlogPosting"}]</script>', "blog", 0.8167, ["meta", "schema", "url"]),
+        ("https://a.com/x", "<h2>Frequently <b>asked</b> questions</h2>", "faq", 0.95, ["heading"]),
+        ("https://a.com/faq", "<h1>About us</h1>", "faq", 0.475, ["heading", "url"]),
+        ("https://a.com/index.html", '<script type="application/ld+json">{broken</script>', "homepage", 0.8, ["url"]),
+        ("https://a.com/x", "", "unknown", 0.1, []),
+        (None, None, "unknown", 0.1, []),
+    ],
+)
+def test_page_types(spark, url, html, kind, confidence, signals):
+    from marketspark.operators import classification
+
+    pages = spark.createDataFrame([(1, url, html)], "page_id long, url string, html string")
+    r = classification.page_types(pages, dom.tree(pages, "page_id"), "page_id").first()
+    assert (r.type, round(r.confidence, 4), r.signals) == (kind, confidence, signals)
+
+
+def test_pictures(spark):
+    """A word more changes few bits, another text many; blank texts have blank pictures."""
+    from pyspark.sql import functions as F
+
+    from marketspark.operators import pictures
+
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) + str(rng.randint(0, 999)) for _ in range(300))
+    one, two = text(), text()
+    rows = [("one", one), ("edit", "extra " + one), ("moved", " ".join(reversed(one.split()))), ("two", two), ("null", None), ("blank", " \n ")]
+    h = {r.k: r.h for r in pictures.drawn(spark.createDataFrame(rows, "k string, t string"), ["k"], "t").select("k", pictures.difference_hash(F.col("grid")).alias("h")).collect()}
+    d = lambda a, b: bin((h[a] ^ h[b]) & (1 << 64) - 1).count("1")
+    assert d("one", "edit") <= pictures.SAME < 15 < d("one", "two") and d("one", "moved") == 0 and h["null"] == h["blank"] == 0
+    assert spark.sql("select 1").select(pictures.distance(F.lit(h["one"]), F.lit(h["two"])).alias("x")).first().x == d("one", "two")
