@@ -75,4 +75,4 @@ def page_types(pages: DataFrame, t: DataFrame, key: str, url: str = "url") -> Da
     summed = won.groupBy(key, F.col("b.type").alias("type")).agg(F.sum("b.score").alias("score"), F.collect_list("signal").alias("by"))
     top = summed.groupBy(key).agg(best(F.collect_list(F.struct("type", "score"))).alias("t"), F.array_sort(F.flatten(F.collect_list("by"))).alias("signals"))
     out = pages.select(key).join(top, key, "left")
-    return out.select(key, F.coalesce("t.type", F.lit("unknown")).alias("type"), F.coalesce(F.least(F.lit(0.95), F.col("t.score") / F.size("signals")), F.lit(0.1)).alias("confidence"), F.coalesce("signals", F.array().cast("array<string>")).alias("signals"))
+    return out.select(key, F.coalesce("t.type", F.lit("unknown")).alias("type"), F.when(F.col("t").isNotNull(), F.least(F.lit(0.95), F.col("t.score") / F.size("signals"))).otherwise(0.1).alias("confidence"), F.coalesce("signals", F.array().cast("array<string>")).alias("signals"))

@@ -124,7 +124,7 @@ _TOLD = {t: {p.replace("\\", ""): w for p, w in ps.items() if not p.startswith("
     v AS (SELECT page_id, list_filter([{_struct({t: _first("u", p) for t, p in ADDRESSES.items()})}, {_struct({t: _most("h", p) for t, p in HEADINGS.items()})}, {_struct({t: f"round({TITLE_SHARE} * {_most('t', p)}, 9)" for t, p in _TOLD.items()})}], lambda b: b IS NOT NULL) AS b FROM x),
     e AS (SELECT page_id, len(b) AS n, unnest(b) AS w FROM v), g AS (SELECT page_id, any_value(n) AS n, w.t AS t, any_value(w.o) AS o, sum(w.s) AS s FROM e GROUP BY page_id, w.t),
     top AS (SELECT page_id, arg_max(t, (s, o)) AS type, max(s) AS s, any_value(n) AS n FROM g GROUP BY page_id)
-    SELECT page_id, coalesce(type, 'unknown') AS type, round(coalesce(least(0.95, s / n), 0.1)::DOUBLE, 6) AS confidence, coalesce(n, 0)::INTEGER AS signals FROM pages LEFT JOIN top USING (page_id)""",
+    SELECT page_id, coalesce(type, 'unknown') AS type, round(CASE WHEN s IS NULL THEN 0.1 ELSE least(0.95, s / n) END::DOUBLE, 6) AS confidence, coalesce(n, 0)::INTEGER AS signals FROM pages LEFT JOIN top USING (page_id)""",
 )
 def _(spark, d):
     c = classification.page_types(table(spark, d, "pages"), page_tree(spark, d), K)

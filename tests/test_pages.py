@@ -224,7 +224,7 @@ def test_merged_fills_only_what_is_open(spark):
     ("url", "html", "kind", "confidence", "signals"),
     [
         ("https://a.com/", "<p>x</p>", "homepage", 0.9, ["url"]),
-        ("https://a.com/pricing", "<title>Pricing</title><h1>Pricing</h1>", "pricing", 0.8867, ["heading", "meta", "url"]),
+        ("https://a.com/pricing", "<title>Pricing</title><h1>Pricing</h1>", "pricing", 0.95, ["heading", "url"]),
         ("https://a.com/blog/1", '<meta property="og:type" content="article"><script type="application/ld+json">[{"@type":"BlogPosting"}]</script>', "blog", 0.8167, ["meta", "schema", "url"]),
         ("https://a.com/x", "<h2>Frequently <b>asked</b> questions</h2>", "faq", 0.95, ["heading"]),
         ("https://a.com/faq", "<h1>About us</h1>", "faq", 0.475, ["heading", "url"]),
