@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,19 +66,91 @@ def sba(v: Column, steps: int, alpha: float = 0.1) -> Column:
     return croston(v, steps, alpha, 1 - alpha / 2)
 
 
-MODELS: dict[str, Callable[[Column, int], Column]] = {"linear_regression": linear, "moving_average": moving_average, "exponential_smoothing": exponential, "heuristic": endpoints, "croston": croston, "sba": sba}
-DENSE, SPARSE = ("linear_regression", "moving_average", "exponential_smoothing"), ("croston", "sba", "moving_average")
+def ridge_line(v: Column, alpha: float = 1.0) -> tuple[Column, Column]:
+    """Slope and intercept of a ridge regression on the index, the intercept being free: the closed form, since the centred
+    index and the intercept don't mix."""
+    n = S.size(v)
+    slope = S.slope(v) * (n * (n * n - 1) / 12.0) / (n * (n * n - 1) / 12.0 + alpha)
+    return slope, S.mean(v) - slope * (n - 1) / 2
+
+
+def ridge_steps(v: Column, steps: int) -> Column:
+    slope, start = ridge_line(v)
+    n = S.size(v)
+    one = F.coalesce(F.try_element_at(v, F.lit(1)), F.lit(0.0))
+    return F.when(n > 1, _steps(steps, lambda i: start + slope * (n - 1 + i))).otherwise(F.array_repeat(one, steps))
+
+
+MODELS: dict[str, Callable[[Column, int], Column]] = {"linear_regression": linear, "moving_average": moving_average, "exponential_smoothing": exponential, "heuristic": endpoints, "croston": croston, "sba": sba, "ridge": ridge_steps}
+DENSE, SPARSE = ("linear_regression", "ridge", "exponential_smoothing"), ("croston", "sba", "ridge")
+#: Fixed value: deviations on either side of a forecast.
+WIDTH = 1.96
+
+
+def _rms(parts: Column, by: Column) -> Column:
+    """Root of the sum of squares over `by`, 1 at least."""
+    return F.sqrt(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x * x) / F.greatest(by, F.lit(1)))
+
+
+def _against(v: Column, fitted: Callable[[Column], Column]) -> Column:
+    return F.transform(v, lambda x, i: x - fitted(i))
+
+
+def deviation(model: str, v: Column) -> Column:
+    """What a model's interval is wide by at the first step: the spread of its residuals, of demands for the intermittent ones."""
+    n = S.size(v)
+    if model == "linear_regression":
+        return _rms(_against(v, lambda i: S.intercept(v) + S.slope(v) * i), n - 2)
+    if model == "ridge":
+        slope, start = ridge_line(v)
+        return F.when(n > 1, _rms(_against(v, lambda i: F.greatest(F.lit(0.0), start + slope * i)), n - 2)).otherwise(0.0)
+    if model == "exponential_smoothing":
+        s = S.smoothed(v, 0.3)
+        return _rms(F.zip_with(v, s, lambda a, b: a - b), n)
+    if model == "heuristic":
+        return _rms(_against(v, lambda i: S.mean(v)), n)
+    if model == "moving_average":
+        w = F.slice(v, -3, 3)
+        return F.sqrt(S.squares(w, S.mean(w))) / 3
+    sizes = F.filter(v, lambda x: x > 0)
+    level = F.coalesce(S.last(S.smoothed(sizes, 0.1)), F.lit(0.0))
+    return F.when(F.size(sizes) > 1, F.sqrt(S.squares(sizes, level) / F.size(sizes))).otherwise(0.5 * level)
+
+
+def intervals(model: str, v: Column, steps: int) -> Column:
+    """array<struct<low, high>> of each step: WIDTH deviations times the root of the step, not below 0. Of a moving average
+    over fewer than three values, a fifth on either side; of one value's regressions, the value."""
+    p, wide = MODELS["croston" if model == "sba" else model](v, steps), deviation(model, v) * WIDTH
+    out = F.transform(p, lambda x, i: F.struct(F.greatest(F.lit(0.0), x - wide * F.sqrt(i + 1.0)).alias("low"), (x + wide * F.sqrt(i + 1.0)).alias("high")))
+    share = lambda d: F.transform(p, lambda x: F.struct((x * (1 - d)).alias("low"), (x * (1 + d)).alias("high")))
+    if model == "moving_average":
+        return F.when(S.size(v) >= 3, out).otherwise(share(0.2))
+    return F.when(S.size(v) > 1, out).otherwise(share(0.0)) if model in ("linear_regression", "ridge") else out
+
+
+def _sparse(v: Column) -> Column:
+    return F.size(F.filter(v, lambda x: x == 0)) / S.size(v) > 0.7
 
 
 def ensemble(v: Column, steps: int) -> Column:
     """Mean of three models at each step; series with more than 70 % zeros take the sparse ones."""
-    zeros = F.size(F.filter(v, lambda x: x == 0)) / S.size(v)
 
     def of(names: tuple[str, ...]) -> Column:
         a, b, c = (MODELS[n](v, steps) for n in names)
         return F.zip_with(F.zip_with(a, b, lambda x, y: x + y), c, lambda x, y: (x + y) / 3)
 
-    return F.when(zeros > 0.7, of(SPARSE)).otherwise(of(DENSE))
+    return F.when(_sparse(v), of(SPARSE)).otherwise(of(DENSE))
+
+
+def ensemble_intervals(v: Column, steps: int) -> Column:
+    """array<struct<low, high>>: of each step the widest that any of the ensemble's models gives."""
+
+    def of(names: tuple[str, ...]) -> Column:
+        a, b, c = (intervals(n, v, steps) for n in names)
+        both = lambda x, y: F.struct(F.least(x["low"], y["low"]).alias("low"), F.greatest(x["high"], y["high"]).alias("high"))
+        return F.zip_with(F.zip_with(a, b, both), c, both)
+
+    return F.when(_sparse(v), of(SPARSE)).otherwise(of(DENSE))
 
 
 def with_forecasts(df: DataFrame, models: tuple[str, ...], steps: int, values: str = "values") -> DataFrame:
@@ -90,25 +160,9 @@ def with_forecasts(df: DataFrame, models: tuple[str, ...], steps: int, values: s
     return df.select(*keys, F.explode(each).alias("m")).select(*keys, F.col("m.model").alias("model"), F.posexplode("m.p").alias("step", "prediction"))
 
 
-def ridge(df: DataFrame, key: str, steps: int, alpha: float = 1.0, values: str = "values") -> DataFrame:
-    """key, step, prediction of a ridge regression on the time index, intercept free. One series a row is small; rows are
-    worked on in Arrow batches without grouping."""
-
-    def fit(it):
-        for pdf in it:
-            out = []
-            for k, v in zip(pdf[key], pdf[values], strict=True):
-                y = np.asarray(v if v is not None else [], float)
-                if len(y) < 2:
-                    p = np.repeat(y[0] if len(y) else 0.0, steps)
-                else:
-                    x = np.stack([np.ones(len(y)), np.arange(len(y))], 1)
-                    w = np.linalg.lstsq(x.T @ x + alpha * np.diag([0.0, 1.0]), x.T @ y, rcond=None)[0]
-                    p = np.maximum(0.0, w[0] + w[1] * (len(y) + np.arange(steps)))
-                out += [(k, i, float(q)) for i, q in enumerate(p)]
-            yield pd.DataFrame(out, columns=[key, "step", "prediction"])
-
-    return df.select(key, values).mapInPandas(fit, f"{key} {df.schema[key].dataType.simpleString()}, step int, prediction double")
+def ridge(df: DataFrame, key: str, steps: int, values: str = "values") -> DataFrame:
+    """key, step, prediction of a ridge regression on the time index, intercept free."""
+    return df.select(key, F.posexplode(ridge_steps(F.coalesce(F.col(values), F.array().cast("array<double>")), steps)).alias("step", "prediction"))
 
 
 def walk_forward(df: DataFrame, models: tuple[str, ...], values: str = "values") -> DataFrame:

@@ -169,7 +169,10 @@ def _(spark, d):
 
 @query("ensemble_forecast")
 def _(spark, d):
-    return composite_arrays(spark, d).select("competitor_id", F.posexplode(M.ensemble(F.col("values"), 7)).alias("step", "prediction"))
+    """Mean of three models with the widest of their intervals."""
+    v = F.col("values")
+    both = F.zip_with(M.ensemble(v, 7), M.ensemble_intervals(v, 7), lambda p, c: F.struct(p.alias("prediction"), c["low"].alias("low"), c["high"].alias("high")))
+    return composite_arrays(spark, d).select("competitor_id", F.posexplode(both).alias("step", "x")).select("competitor_id", "step", "x.*")
 
 
 @query("walk_forward_eval")
