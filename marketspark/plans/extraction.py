@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from marketspark.functions.urls import canonical_link, social_handle
 from marketspark.operators import dom
 from marketspark.operators.dom import attr, classed, nearest
-from marketspark.plans.registry import query
+from marketspark.operators.graph import cut
+from marketspark.plans.registry import QUERIES, query
 from marketspark.sources.tables import change_events, competitors, services
 
 K = "competitor_id"
@@ -23,16 +24,16 @@ _KINDS = "kinds AS (SELECT competitor_id, kind, count(*) AS n, 1 + count(*) % 5
 def catalog_pages(spark, d) -> DataFrame:
     """competitor_id, html: head with metadata and JSON-LD, breadcrumbs, a price table of all services, brand cards, lists, a
     form, questions, team, reviews in microdata, an address, links to profiles, documents and pictures."""
-    c, s = competitors(spark, d), services(spark, d)
+    c, s = competitors(spark, d), services(spark, d).repartition(K)  # once for brands and for pages
     line = F.concat(F.lit("<tr><td>"), "service_name", F.lit("<td>$"), F.format_string("%.2f", "price"), F.lit("<td>"), "category", F.lit("</tr>"))
-    rows = s.groupBy(K).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("service_id", line.alias("h")))), lambda x: x["h"]), "").alias("rows"))
     card = F.concat(F.lit('<div class="card"><h3>'), "brand", F.lit('</h3><p class="price">$'), F.format_string("%.2f", "low"), F.lit("</p><p>"), "n", F.lit(" services</p></div>"))
-    b = s.groupBy(K, "brand").agg(F.count("*").alias("n"), F.min("price").alias("low"))
-    cards = b.groupBy(K).agg(F.array_join(F.sort_array(F.collect_list(card)), "").alias("cards"), F.sort_array(F.collect_list(F.concat(F.lit("<option>"), "brand", F.lit("</option>")))).alias("options"), F.sum("n").alias("n"))
+    b = s.groupBy(K, "brand").agg(F.count("*").alias("n"), F.min("price").alias("low"), F.collect_list(F.struct("service_id", line.alias("h"))).alias("lines"))
+    rows = F.array_join(F.sort_array(F.flatten(F.collect_list("lines")))["h"], "").alias("rows")
+    cards = b.groupBy(K).agg(rows, F.array_join(F.sort_array(F.collect_list(card)), "").alias("cards"), F.sort_array(F.collect_list(F.concat(F.lit("<option>"), "brand", F.lit("</option>")))).alias("options"), F.sum("n").alias("n"))
     seen = change_events(spark, d).groupBy(K, "kind").agg(F.count("*").alias("n"))
     review = F.concat(F.lit('<div itemscope itemtype="https://schema.org/Review"><span itemprop="author">'), "kind", F.lit('</span> <span itemprop="ratingValue">'), F.col("n") % 5 + 1, F.lit("</span></div>"))
     reviews = seen.groupBy(K).agg(F.array_join(F.sort_array(F.collect_list(review)), "").alias("reviews"), F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("<li>"), "kind", F.lit("</li>")))), "").alias("kinds"))
-    page = c.join(rows, K, "left").join(cards, K, "left").join(reviews, K, "left").na.fill("", ["rows", "cards", "reviews", "kinds"]).na.fill(0, ["n"])
+    page = c.join(cards, K, "left").join(reviews, K, "left").na.fill("", ["rows", "cards", "reviews", "kinds"]).na.fill(0, ["n"])
     ld = F.to_json(F.struct(F.lit("Organization").alias("@type"), "name", F.struct(F.col("nation").alias("addressLocality"), F.col("region").alias("addressRegion")).alias("address"), F.col("n").alias("numberOfItems")))
     site = F.concat(F.lit("https://www.s"), K, F.lit(".example.com"))
     parts = [
@@ -50,27 +51,37 @@ def catalog_pages(spark, d) -> DataFrame:
     return page.select(K, F.concat(*[F.col(p) if isinstance(p, str) else p for p in parts]).alias("html"))
 
 
-def page_nodes(spark, d) -> DataFrame:
-    return dom.nodes(catalog_pages(spark, d), K)
+def page_nodes(spark, d, *tags: str, attrs: tuple[str, ...] = (), once: bool = False) -> DataFrame:
+    """The pages' nodes of these tags or with one of these attributes. once: kept, for queries that go through them several
+    times, so that pages are written and parsed but once."""
+    n = dom.nodes(catalog_pages(spark, d), K, tags=tags, attrs=attrs)
+    return cut(n) if once else n
 
 
-@query("extraction_json_ld", "SELECT competitor_id, name, nation AS locality, region AS area, COALESCE(n, 0) AS items FROM competitors LEFT JOIN (SELECT competitor_id, count(*) n FROM services GROUP BY 1) USING (competitor_id)", "competitors", "services")
-def _(spark, d):
+def json_ld_of(n: DataFrame) -> DataFrame:
     kind = "name string, address struct<addressLocality:string, addressRegion:string>, numberOfItems bigint"
-    ld = page_nodes(spark, d).where((F.col("tag") == "script") & (attr("type") == "application/ld+json")).withColumn("j", F.from_json("text", kind))
+    ld = n.where((F.col("tag") == "script") & (attr("type") == "application/ld+json")).withColumn("j", F.from_json("text", kind))
     return ld.select(K, "j.name", F.col("j.address.addressLocality").alias("locality"), F.col("j.address.addressRegion").alias("area"), F.col("j.numberOfItems").alias("items"))
 
 
-@query("extraction_microdata", f"WITH {_KINDS} SELECT competitor_id, kind AS author, rating FROM kinds JOIN competitors USING (competitor_id)", "competitors", "changes")
+@query("extraction_json_ld", "SELECT competitor_id, name, nation AS locality, region AS area, COALESCE(n, 0) AS items FROM competitors LEFT JOIN (SELECT competitor_id, count(*) n FROM services GROUP BY 1) USING (competitor_id)", "competitors", "services")
 def _(spark, d):
+    return json_ld_of(page_nodes(spark, d, "script"))
+
+
+def microdata_of(n: DataFrame) -> DataFrame:
     """Items of itemscope: a row an item, its properties pivoted; the first of a property counts."""
-    n = page_nodes(spark, d)
     scopes = n.where(F.coalesce(attr("itemtype"), F.lit("")).endswith("/Review")).select(K, F.col("node").alias("scope"))
     props = dom.within(n.where(attr("itemprop").isNotNull()), scopes, K).withColumn("prop", attr("itemprop"))
     wide = props.groupBy(K, "scope").pivot("prop", ["author", "ratingValue"]).agg(F.min_by("text", "node"))
     return wide.select(K, "author", F.col("ratingValue").cast("long").alias("rating"))
 
 
+@query("extraction_microdata", f"WITH {_KINDS} SELECT competitor_id, kind AS author, rating FROM kinds JOIN competitors USING (competitor_id)", "competitors", "changes")
+def _(spark, d):
+    return microdata_of(page_nodes(spark, d, attrs=("itemtype", "itemprop"), once=True))
+
+
 def table_cells(n: DataFrame) -> DataFrame:
     """key, tbl, line, place, text, is_head of table cells; place counts from 0 within the row."""
     from pyspark.sql import Window
@@ -82,7 +93,7 @@ def table_cells(n: DataFrame) -> DataFrame:
 @query("extraction_tables", f"WITH {_SERVED} SELECT competitor_id, service_name AS service, category, round(price, 2) AS price FROM served", "services")
 def _(spark, d):
     """Columns are told by their header's words, rows become services."""
-    cells = table_cells(page_nodes(spark, d))
+    cells = table_cells(page_nodes(spark, d, "td", "th"))
     word = F.lower("text")
     role = F.when(word.rlike("price|cost|rate"), "price").when(word.rlike("service|name|item"), "service").when(word.rlike("category|type"), "category")
     heads = cells.where("is_head").select(K, "tbl", "place", role.alias("role"))
@@ -90,9 +101,7 @@ def _(spark, d):
     return wide.select(K, "service", "category", F.regexp_replace("price", "[^0-9.]", "").cast("double").alias("price"))
 
 
-@query("extraction_forms", f"WITH {_BRANDS} SELECT competitor_id, 'Brand' AS label, 'select' AS kind, count(*) AS options, min(brand) AS first FROM brands GROUP BY 1 UNION ALL SELECT competitor_id, NULL, 'email', 0, NULL FROM competitors WHERE competitor_id IN (SELECT competitor_id FROM competitors)", "competitors", "services")
-def _(spark, d):
-    n = page_nodes(spark, d)
+def forms_of(n: DataFrame) -> DataFrame:
     labels = n.where("tag = 'label'").select(K, attr("for").alias("id"), F.col("text").alias("label"))
     field = n.where("tag in ('select', 'input', 'textarea')").withColumn("form", nearest("form")).where("form is not null")
     field = field.select(K, "node", attr("id").alias("id"), F.when(F.col("tag") == "input", F.coalesce(attr("type"), F.lit("text"))).otherwise(F.col("tag")).alias("kind"))
@@ -101,29 +110,39 @@ def _(spark, d):
     return out.where("kind <> 'select' or options > 0").select(K, "label", "kind", F.coalesce("options", F.lit(0)).alias("options"), "first")
 
 
-@query("extraction_faq", "SELECT competitor_id, 'How many services?' AS question, COALESCE(n, 0)::VARCHAR AS answer FROM competitors LEFT JOIN (SELECT competitor_id, count(*) n FROM services GROUP BY 1) USING (competitor_id) UNION ALL SELECT competitor_id, 'Where?', nation FROM competitors", "competitors", "services")
+@query("extraction_forms", f"WITH {_BRANDS} SELECT competitor_id, 'Brand' AS label, 'select' AS kind, count(*) AS options, min(brand) AS first FROM brands GROUP BY 1 UNION ALL SELECT competitor_id, NULL, 'email', 0, NULL FROM competitors WHERE competitor_id IN (SELECT competitor_id FROM competitors)", "competitors", "services")
 def _(spark, d):
+    return forms_of(page_nodes(spark, d, "label", "select", "input", "textarea", "option", once=True))
+
+
+def faq_of(n: DataFrame) -> DataFrame:
     """Definition lists and details: the answer is what follows the question; repeated questions count once."""
     from pyspark.sql import Window
 
-    n = page_nodes(spark, d).where("tag in ('dt', 'dd', 'summary')")
+    n = n.where("tag in ('dt', 'dd', 'summary')")
     after = F.lead(F.when(F.col("tag") == "dd", F.col("text"))).over(Window.partitionBy(K).orderBy("node"))
     qa = n.withColumn("answer", after).where("tag in ('dt', 'summary') and answer is not null")
     return qa.groupBy(K, F.lower("text").alias("q")).agg(F.min_by(F.struct("text", "answer"), "node").alias("x")).select(K, F.col("x.text").alias("question"), "x.answer")
 
 
-@query("extraction_breadcrumbs", "SELECT competitor_id, 'Home/' || region || '/' || nation AS path, nation AS leaf, region AS parent FROM competitors", "competitors")
+@query("extraction_faq", "SELECT competitor_id, 'How many services?' AS question, COALESCE(n, 0)::VARCHAR AS answer FROM competitors LEFT JOIN (SELECT competitor_id, count(*) n FROM services GROUP BY 1) USING (competitor_id) UNION ALL SELECT competitor_id, 'Where?', nation FROM competitors", "competitors", "services")
 def _(spark, d):
-    n = page_nodes(spark, d)
+    return faq_of(page_nodes(spark, d, "dt", "dd", "summary"))
+
+
+def breadcrumbs_of(n: DataFrame) -> DataFrame:
     crumbs = n.where((F.col("tag") == "nav") & classed("breadcrumb")).select(K, F.col("node").alias("scope"))
     path = dom.within(n.where("tag = 'a'"), crumbs, K).groupBy(K, "scope").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]).alias("p"))
     return path.where(F.size("p") >= 3).select(K, F.array_join("p", "/").alias("path"), F.element_at("p", -1).alias("leaf"), F.element_at("p", -2).alias("parent"))
 
 
-@query("extraction_cards", f"WITH {_BRANDS} SELECT competitor_id, brand AS name, round(low, 2) AS price, n AS services FROM brands", "services")
+@query("extraction_breadcrumbs", "SELECT competitor_id, 'Home/' || region || '/' || nation AS path, nation AS leaf, region AS parent FROM competitors", "competitors")
 def _(spark, d):
+    return breadcrumbs_of(page_nodes(spark, d, "nav", "a", once=True))
+
+
+def cards_of(n: DataFrame) -> DataFrame:
     """Repeated children of one class under one parent, two at least: each is a card with its heading, price and text."""
-    n = page_nodes(spark, d)
     card = n.where(classed("card")).select(K, F.col("node").alias("scope"), "parent")
     many = card.groupBy(K, "parent").agg(F.count("*").alias("k")).where("k >= 1").select(K, "parent")
     inner = dom.within(n.where("tag in ('h2', 'h3', 'h4', 'p')"), card.join(many, [K, "parent"]), K)
@@ -132,52 +151,67 @@ def _(spark, d):
     return inner.groupBy(K, "scope").agg(F.min_by(F.when(F.col("tag") != "p", F.col("text")), "node").alias("name"), F.max(price).alias("price"), F.max(count).alias("services")).drop("scope")
 
 
-@query("extraction_lists", f"WITH {_KINDS} SELECT competitor_id, 'What changed' AS heading, kind AS item FROM kinds JOIN competitors USING (competitor_id)", "competitors", "changes")
+@query("extraction_cards", f"WITH {_BRANDS} SELECT competitor_id, brand AS name, round(low, 2) AS price, n AS services FROM brands", "services")
 def _(spark, d):
-    return dom.headed(page_nodes(spark, d), K).where("tag = 'li'").select(K, "heading", F.col("text").alias("item"))
+    return cards_of(page_nodes(spark, d, "h2", "h3", "h4", "p", attrs=("class",), once=True))
 
 
-@query("extraction_locations", "SELECT competitor_id, nation AS city, region AS state, 0.5::DOUBLE AS confidence FROM competitors", "competitors")
+def lists_of(n: DataFrame) -> DataFrame:
+    return dom.headed(n, K).where("tag = 'li'").select(K, "heading", F.col("text").alias("item"))
+
+
+@query("extraction_lists", f"WITH {_KINDS} SELECT competitor_id, 'What changed' AS heading, kind AS item FROM kinds JOIN competitors USING (competitor_id)", "competitors", "changes")
 def _(spark, d):
+    return lists_of(page_nodes(spark, d, "h1", "h2", "h3", "h4", "h5", "h6", "li"))
+
+
+def locations_of(n: DataFrame) -> DataFrame:
     """Address tags, checked against what JSON-LD says; both agreeing is worth half."""
-    n = page_nodes(spark, d)
     ld = n.where((F.col("tag") == "script") & (attr("type") == "application/ld+json")).select(K, F.get_json_object("text", "$.address.addressLocality").alias("known"))
     a = n.where("tag = 'address'").withColumn("p", F.split("text", r"\s*,\s*")).select(K, F.element_at("p", 1).alias("city"), F.try_element_at("p", F.lit(2)).alias("state"))
     return a.join(ld, K, "left").select(K, "city", "state", F.when(F.col("city") == F.col("known"), 0.5).otherwise(0.25).alias("confidence"))
 
 
-@query("extraction_team", "SELECT competitor_id, 'Lead of ' || name AS person, 'Director' AS role FROM competitors", "competitors")
+@query("extraction_locations", "SELECT competitor_id, nation AS city, region AS state, 0.5::DOUBLE AS confidence FROM competitors", "competitors")
 def _(spark, d):
-    n = page_nodes(spark, d)
+    return locations_of(page_nodes(spark, d, "script", "address", once=True))
+
+
+def team_of(n: DataFrame) -> DataFrame:
     scopes = n.where(classed("member")).select(K, F.col("node").alias("scope"))
     inner = dom.within(n.where("tag in ('h3', 'h4', 'p')"), scopes, K)
     return inner.groupBy(K, "scope").agg(F.min_by(F.when(F.col("tag") != "p", F.col("text")), "node").alias("person"), F.max(F.when(F.col("tag") == "p", F.col("text"))).alias("role")).drop("scope")
 
 
+@query("extraction_team", "SELECT competitor_id, 'Lead of ' || name AS person, 'Director' AS role FROM competitors", "competitors")
+def _(spark, d):
+    return team_of(page_nodes(spark, d, "h3", "h4", "p", attrs=("class",), once=True))
+
+
 @query("extraction_reviews", f"WITH {_KINDS} SELECT competitor_id, count(*) AS reviews, round(avg(rating), 4) AS rating FROM kinds JOIN competitors USING (competitor_id) GROUP BY 1", "competitors", "changes")
 def _(spark, d):
-    r = page_nodes(spark, d).where(attr("itemprop") == "ratingValue").select(K, F.col("text").try_cast("double").alias("rating"))
+    r = page_nodes(spark, d, attrs=("itemprop",)).where(attr("itemprop") == "ratingValue").select(K, F.col("text").try_cast("double").alias("rating"))
     return r.where("rating between 0 and 5").groupBy(K).agg(F.count("*").alias("reviews"), F.round(F.avg("rating"), 4).alias("rating"))
 
 
 @query("extraction_trust", "SELECT competitor_id, 'ISO 9001' AS signal FROM competitors", "competitors")
 def _(spark, d):
     text = F.coalesce(attr("alt"), F.col("text"))
-    hit = page_nodes(spark, d).where("tag in ('img', 'li', 'p', 'span')").select(K, F.nullif(F.regexp_extract(text, r"(?i)\b(ISO ?[0-9]{4,5}|SOC ?2|PCI[- ]DSS|GDPR|HIPAA)\b", 1), F.lit("")).alias("signal"))
+    hit = page_nodes(spark, d, "img", "li", "p", "span").where("tag in ('img', 'li', 'p', 'span')").select(K, F.nullif(F.regexp_extract(text, r"(?i)\b(ISO ?[0-9]{4,5}|SOC ?2|PCI[- ]DSS|GDPR|HIPAA)\b", 1), F.lit("")).alias("signal"))
     return hit.where("signal is not null").distinct()
 
 
 @query("extraction_assets", "SELECT competitor_id, '/terms.pdf' AS href, 'pdf' AS kind, 'Terms' AS title FROM competitors", "competitors")
 def _(spark, d):
     kind = F.nullif(F.lower(F.regexp_extract(attr("href"), r"\.(pdf|docx?|xlsx?|pptx?|zip|csv)(?:[?#]|$)", 1)), F.lit(""))
-    a = page_nodes(spark, d).where("tag = 'a'").withColumn("kind", kind).where(F.col("kind").isNotNull() | attr("download").isNotNull())
+    a = page_nodes(spark, d, "a").where("tag = 'a'").withColumn("kind", kind).where(F.col("kind").isNotNull() | attr("download").isNotNull())
     return a.select(K, attr("href").alias("href"), "kind", F.col("text").alias("title"))
 
 
 @query("extraction_media", "SELECT competitor_id, '/logo.png' AS src, 'logo' AS kind FROM competitors UNION ALL SELECT competitor_id, '/iso.png', 'badge' FROM competitors", "competitors")
 def _(spark, d):
     """Pictures of 48 pixels at least (or of no stated width), typed by what their name and text say."""
-    img = page_nodes(spark, d).where("tag = 'img'").where(F.coalesce(attr("width").try_cast("int"), F.lit(48)) >= 48)
+    img = page_nodes(spark, d, "img").where("tag = 'img'").where(F.coalesce(attr("width").try_cast("int"), F.lit(48)) >= 48)
     said = F.lower(F.concat_ws(" ", attr("src"), attr("alt"), attr("class")))
     return img.select(K, attr("src").alias("src"), F.when(said.rlike("logo"), "logo").when(said.rlike("badge|certif"), "badge").otherwise("image").alias("kind"))
 
@@ -185,7 +219,7 @@ def _(spark, d):
 @query("extraction_generic", "SELECT competitor_id, name, 'info@s' || competitor_id || '.example.com' AS email, '+1-555-01' || lpad(competitor_id::VARCHAR, 4, '0') AS phone FROM competitors", "competitors")
 def _(spark, d):
     href = attr("href")
-    n = page_nodes(spark, d).where("tag in ('h1', 'a')")
+    n = page_nodes(spark, d, "h1", "a").where("tag in ('h1', 'a')")
     scheme = lambda s: F.min_by(F.when(href.startswith(s), F.regexp_replace(href, f"^{s}", "")), "node")
     first = F.min_by("text", F.when(F.col("tag") == "h1", F.col("node")))
     return n.groupBy(K).agg(first.alias("name"), F.max(F.when(href.startswith("mailto:"), F.substring(href, 8, 200))).alias("email"), F.max(F.when(href.startswith("tel:"), F.substring(href, 5, 60))).alias("phone"))
@@ -193,14 +227,14 @@ def _(spark, d):
 
 @query("social_handles", "SELECT competitor_id, 'linkedin.com' AS platform, 's' || competitor_id AS handle FROM competitors", "competitors")
 def _(spark, d):
-    a = page_nodes(spark, d).where("tag = 'a'").select(K, social_handle(attr("href")).alias("s")).where("s is not null")
+    a = page_nodes(spark, d, "a").where("tag = 'a'").select(K, social_handle(attr("href")).alias("s")).where("s is not null")
     return a.select(K, "s.platform", "s.handle").distinct()
 
 
 @query("extraction_headed_blocks", f"WITH {_BRANDS} SELECT competitor_id, count(*) + 1 AS blocks FROM brands GROUP BY 1", "services")
 def _(spark, d):
     """Blocks with a heading of their own: cards and members (sections hold other blocks)."""
-    n = page_nodes(spark, d)
+    n = page_nodes(spark, d, "h3", "div", "article", "li", once=True)
     h = n.where("tag = 'h3'").select(K, F.col("parent").alias("node"))
     blocks = n.where("tag in ('div', 'article', 'li')").join(h, [K, "node"], "left_semi")
     return blocks.groupBy(K).agg(F.count("*").alias("blocks")).where("blocks > 1")
@@ -214,7 +248,7 @@ def _(spark, d):
 
 @query("extraction_metadata", "SELECT competitor_id, name AS site, 'From ' || nation AS description, 'https://s' || competitor_id || '.example.com' AS canonical FROM competitors", "competitors")
 def _(spark, d):
-    m = page_nodes(spark, d).where("tag = 'meta'")
+    m = page_nodes(spark, d, "meta").where("tag = 'meta'")
     name = F.coalesce(attr("property"), attr("name"))
     m = m.groupBy(K).agg(F.max(F.when(name == "og:site_name", attr("content"))).alias("site"), F.max(F.when(name == "description", attr("content"))).alias("description"))
     return m.join(catalog_pages(spark, d).select(K, canonical_link(F.col("html")).alias("canonical")), K)
@@ -222,7 +256,7 @@ def _(spark, d):
 
 def candidates(spark, d) -> DataFrame:
     """competitor_id, field, strategy, value: what several strategies say of one field."""
-    n = page_nodes(spark, d)
+    n = page_nodes(spark, d, "h1", "title", attrs=("type", "property", "name", "href"))
     name = F.coalesce(attr("property"), attr("name"))
     said = {
         ("name", "json_ld"): F.when(attr("type") == "application/ld+json", F.get_json_object("text", "$.name")),
@@ -256,27 +290,27 @@ def _(spark, d):
 
 @query("page_segments", "SELECT competitor_id, segment, n FROM competitors, (VALUES ('nav', 1), ('pricing', 2), ('faq', 2), ('team', 1), ('reviews', 1), ('locations', 1), ('contact', 1), ('footer', 1)) t(segment, n)", "competitors")
 def _(spark, d):
-    s = dom.segments(page_nodes(spark, d), K)
+    s = dom.segments(page_nodes(spark, d, *dom.BLOCKS, "h1", "h2", "h3", "h4", "h5", "h6", once=True), K)
     return s.where("segment <> 'unknown'").groupBy(K, "segment").agg(F.count("*").cast("int").alias("n"))
 
 
 @query("best_segment", "SELECT competitor_id, 'table' AS tag, 0.85::DOUBLE AS score FROM competitors", "competitors")
 def _(spark, d):
     """Each page's best pricing segment."""
-    s = dom.segments(page_nodes(spark, d), K).where("segment = 'pricing'")
+    s = dom.segments(page_nodes(spark, d, *dom.BLOCKS, "h1", "h2", "h3", "h4", "h5", "h6", once=True), K).where("segment = 'pricing'")
     return s.groupBy(K).agg(F.max_by(F.struct("tag", "score"), F.struct("score", -F.col("node"))).alias("b")).select(K, "b.tag", "b.score")
 
 
 @query("evidence_paths", "SELECT competitor_id, 'html > body > h1' AS path, name AS snippet FROM competitors", "competitors")
 def _(spark, d):
-    return page_nodes(spark, d).where("tag = 'h1'").select(K, dom.css_path().alias("path"), F.substring("text", 1, 200).alias("snippet"))
+    return page_nodes(spark, d, "h1").where("tag = 'h1'").select(K, dom.css_path().alias("path"), F.substring("text", 1, 200).alias("snippet"))
 
 
 @query("relationship_links", f"WITH {_BRANDS} SELECT competitor_id, brand AS card, brand AS option, 1.0::DOUBLE AS confidence FROM brands", "services")
 def _(spark, d):
     """Cards and form options of one page that name the same thing: 1 where equal, else the share that the shorter name is of the
     longer where it is part of it and 0.6 of it at least; the best option a card."""
-    n = page_nodes(spark, d)
+    n = page_nodes(spark, d, "h3", "option", attrs=("class",), once=True)
     card = n.where("tag = 'h3'").withColumn("c", nearest("div")).join(n.where(classed("card")).select(K, F.col("node").alias("c")), [K, "c"]).select(K, F.col("text").alias("card"))
     option = n.where("tag = 'option'").select(K, F.col("text").alias("option"))
     exact = card.join(option, (card[K] == option[K]) & (card.card == option.option)).select(card[K], "card", "option", F.lit(1.0).alias("confidence"))
@@ -290,7 +324,7 @@ def _(spark, d):
 @query("proximity_relations", f"WITH {_BRANDS} SELECT competitor_id, brand AS name, '$' || printf('%.2f', low) AS price, 'card' AS container FROM brands", "services")
 def _(spark, d):
     """A heading and a price that share their nearest container are related."""
-    n = page_nodes(spark, d).withColumn("box", nearest("div")).where("box is not null")
+    n = page_nodes(spark, d, "h3", attrs=("class",), once=True).withColumn("box", nearest("div")).where("box is not null")
     h = n.where("tag = 'h3'").select(K, "box", F.col("text").alias("name"))
     p = n.where(classed("price")).select(K, "box", F.col("text").alias("price"))
     return h.join(p, [K, "box"]).select(K, "name", "price", F.lit("card").alias("container"))
@@ -304,7 +338,9 @@ def _(spark, d):
     return services(spark, d).groupBy("service_id", entry.alias("entry")).agg(F.count("*").alias("offers"))
 
 
-STRATEGIES = ("extraction_json_ld", "extraction_microdata", "extraction_tables", "extraction_forms", "extraction_faq", "extraction_breadcrumbs", "extraction_cards", "extraction_lists", "extraction_locations", "extraction_team")
+#: Strategies that go through the same nodes; tables, which take most of them, go through their own.
+STRATEGIES = {"extraction_json_ld": json_ld_of, "extraction_microdata": microdata_of, "extraction_forms": forms_of, "extraction_faq": faq_of, "extraction_breadcrumbs": breadcrumbs_of, "extraction_cards": cards_of, "extraction_lists": lists_of, "extraction_locations": locations_of, "extraction_team": team_of}
+_TAGS = "script address label select input textarea option dt dd summary nav a h1 h2 h3 h4 h5 h6 p li".split()
 
 
 @query(
@@ -318,7 +354,7 @@ UNION ALL SELECT 'extraction_cards', count(*) FROM brands UNION ALL SELECT 'extr
     "changes",
 )
 def _(spark, d):
-    """All strategies run and counted."""
-    from marketspark.plans.registry import QUERIES
-
-    return reduce(DataFrame.unionByName, [QUERIES[s](spark, d).agg(F.count("*").alias("rows_")).select(F.lit(s).alias("strategy"), "rows_") for s in STRATEGIES])
+    """All strategies run and counted, over nodes that are parsed once."""
+    n = page_nodes(spark, d, *_TAGS, attrs=("itemtype", "itemprop", "class"), once=True)
+    found = {"extraction_tables": QUERIES["extraction_tables"](spark, d), **{s: f(n) for s, f in STRATEGIES.items()}}
+    return reduce(DataFrame.unionByName, [f.agg(F.count("*").alias("rows_")).select(F.lit(s).alias("strategy"), "rows_") for s, f in found.items()])
