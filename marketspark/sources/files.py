@@ -44,10 +44,11 @@ def new_pages(pages: DataFrame, state: DataFrame) -> DataFrame:
     return snapshots(pages).join(state.select("url", "content_hash"), ["url", "content_hash"], "left_anti")
 
 
-def crawl_state(pages: DataFrame, state: DataFrame) -> DataFrame:
-    """pages with `state`: new (url not seen), unchanged (same content hash) or changed, against an earlier crawl's snapshots."""
-    seen = state.groupBy("url").agg(F.max_by("content_hash", "page_id").alias("_seen"))
-    now = snapshots(pages).join(seen, "url", "left")
+def crawl_state(pages: DataFrame, state: DataFrame, key: str = "url") -> DataFrame:
+    """pages with `state`: new (url, or other key, not seen), unchanged (same content hash) or changed, against an earlier crawl's
+    snapshots."""
+    seen = state.groupBy(key).agg(F.max_by("content_hash", "page_id").alias("_seen"))
+    now = snapshots(pages).join(seen, key, "left")
     return now.withColumn("state", F.when(F.col("_seen").isNull(), "new").when(F.col("_seen") == F.col("content_hash"), "unchanged").otherwise("changed")).drop("_seen")
 
 

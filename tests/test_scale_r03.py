@@ -41,3 +41,10 @@ def test_references_without_a_semicolon_stay(spark):
     html = '<p>a &amp; b &amp</p><script>x && "&copy"</script><p>&&amp;& &copy'
     rows = dom.tree(spark.createDataFrame([(1, html)], "page_id long, html string")).where("tag like '#%' and text != ''").orderBy("node").collect()
     assert [r.text for r in rows] == ["a & b &amp", 'x && "&copy"', "&&& &copy"]
+
+
+def test_pages_of_one_url_are_told_apart(spark, tmp_path):
+    rows = [(k, "http://a/", h) for k, h in ((1, "x"), (2, "y"), (3, "z"), (4, "z"), (5, "x"), (6, None))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.state for r in QUERIES["incremental_skip"](spark, str(tmp_path)).collect()}
+    assert got == {1: "unchanged", 2: "unchanged", 3: "unchanged", 4: "changed", 5: "new", 6: "changed"}
