@@ -5,6 +5,8 @@ A series is an array<double>, oldest first. Helpers take and give columns, so on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ def size(v: Column) -> Column:
     return F.size(v)
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x computed once however often f uses it, inside further lambdas too."""
+    return F.transform(F.array(x), f)[0]
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
@@ -40,7 +47,7 @@ def mean(v: Column) -> Column:
 
 
 def squares(v: Column, m: Column) -> Column:
-    return F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
+    return bound(m, lambda m: F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))
 
 
 def stddev(v: Column) -> Column:
@@ -50,12 +57,24 @@ def stddev(v: Column) -> Column:
 
 def slope(v: Column) -> Column:
     """Least-squares slope over the index; 0 below two values."""
-    n, m = size(v), mean(v)
+    n = size(v)
     x = (n - 1) / 2
-    num = F.aggregate(F.zip_with(v, F.sequence(F.lit(0), n - 1), lambda y, i: (i - x) * (y - m)), F.lit(0.0), lambda a, t: a + t)
+    num = bound(mean(v), lambda m: F.aggregate(F.zip_with(v, F.sequence(F.lit(0), n - 1), lambda y, i: (i - x) * (y - m)), F.lit(0.0), lambda a, t: a + t))
     return F.when(n > 1, num / (n * (n * n - 1) / 12.0)).otherwise(0.0)
 
 
+def co_moment(v: Column) -> Column:
+    """Sum of the products of the deviations of index and value, updated value by value as SQL's regr_slope does; 0 for none."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("c"))
+
+    def step(a: Column, y: Column) -> Column:
+        n, dx = a["n"] + 1, a["n"] - a["x"]
+        my = a["y"] + (y - a["y"]) / n
+        return F.struct(n.alias("n"), (a["x"] + dx / n).alias("x"), my.alias("y"), (a["c"] + dx * (y - my)).alias("c"))
+
+    return F.aggregate(v, start, step, lambda a: a["c"])
+
+
 def intercept(v: Column) -> Column:
     return mean(v) - slope(v) * (size(v) - 1) / 2
 

@@ -19,7 +19,8 @@ _COMPOSITE = f"{_DAYS}, k AS (SELECT DISTINCT competitor_id FROM changes), s AS
 
 
 def composite(spark, d):
-    w = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in WEIGHT.items()])
+    # Exact sums: a day's value doesn't depend on the order of its events.
+    w = F.coalesce(*[F.when(F.col("kind") == k, F.lit(str(v)).cast("decimal(2,1)")) for k, v in WEIGHT.items()])
     return S.dense_daily(change_events(spark, d), ["competitor_id"], "day", F.sum(w), START, END)
 
 
@@ -106,7 +107,7 @@ WITH {_COMPOSITE}, h AS (SELECT competitor_id, avg(v) FILTER (i >= 23) - avg(v)
 SELECT competitor_id, CASE WHEN m > 0.01 AND b >= 0 THEN 'growing' WHEN m > 0.01 THEN 'recovering' WHEN m < -0.01 AND b > 0 THEN 'cooling' WHEN m < -0.01 THEN 'declining' ELSE 'stable' END AS state FROM h""", "changes")
 def _(spark, d):
     v = F.col("values")
-    m, b = S.mean(F.slice(v, 24, 7)) - S.mean(F.slice(v, 17, 7)), S.slope(v)
+    m, b = S.mean(F.slice(v, 24, 7)) - S.mean(F.slice(v, 17, 7)), S.co_moment(v)  # has the slope's sign
     state = F.when((F.col("m") > 0.01) & (F.col("b") >= 0), "growing").when(F.col("m") > 0.01, "recovering").when((F.col("m") < -0.01) & (F.col("b") > 0), "cooling").when(F.col("m") < -0.01, "declining").otherwise("stable")
     return composite_arrays(spark, d).withColumns({"m": m, "b": b}).select("competitor_id", state.alias("state"))
 

@@ -48,3 +48,17 @@ def test_pages_of_one_url_are_told_apart(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.state for r in QUERIES["incremental_skip"](spark, str(tmp_path)).collect()}
     assert got == {1: "unchanged", 2: "unchanged", 3: "unchanged", 4: "changed", 5: "new", 6: "changed"}
+
+
+def test_days_are_summed_exactly(spark, tmp_path):
+    """Three clicks make 0.3, as the SQL's decimals do, whatever the order; a symmetric series has no slope at all."""
+    from pyspark.sql import functions as F
+
+    from marketspark.operators import series as S
+    from marketspark.plans.timeseries import composite
+
+    rows = [(k, "2024-01-05 00:00:00", 1, "click", 1.0, "{}") for k in range(3)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    assert composite(spark, str(tmp_path)).agg(F.max("value")).first()[0] == 0.3
+    one = spark.sql("select array(1d, 2d, 4d) as v, array(1d, 2d, 2d, 1d) as w").select(S.co_moment(F.col("v")), S.co_moment(F.col("w"))).first()
+    assert one[0] == 3.0 and abs(one[1]) < 1e-12
