@@ -17,10 +17,15 @@ def _steps(n: int, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.greatest(F.lit(0.0), f(i)))
 
 
+def _line(v: Column) -> Column:
+    return F.struct(S.intercept(v).alias("start"), S.slope(v).alias("slope"))
+
+
 def linear(v: Column, steps: int) -> Column:
     n = S.size(v)
     one = F.coalesce(F.try_element_at(v, F.lit(1)), F.lit(0.0))
-    return F.when(n > 1, _steps(steps, lambda i: S.intercept(v) + S.slope(v) * (n - 1 + i))).otherwise(F.array_repeat(one, steps))
+    line = S.bound(_line(v), lambda x: _steps(steps, lambda i: x["start"] + x["slope"] * (n - 1 + i)))
+    return F.when(n > 1, line).otherwise(F.array_repeat(one, steps))
 
 
 def moving_average(v: Column, steps: int, window: int = 3) -> Column:
@@ -36,10 +41,10 @@ def moving_average(v: Column, steps: int, window: int = 3) -> Column:
 
 
 def exponential(v: Column, steps: int, alpha: float = 0.3) -> Column:
-    s = S.smoothed(v, alpha)
     n = S.size(v)
-    trend = (S.last(s) - F.try_element_at(s, F.greatest(n - 4, F.lit(1)))) / F.least(F.lit(5), n)
-    return F.when(n > 0, _steps(steps, lambda i: S.last(s) + trend * i)).otherwise(F.array_repeat(F.lit(0.0), steps))
+    trend = lambda s: F.struct(S.last(s).alias("last"), ((S.last(s) - F.try_element_at(s, F.greatest(n - 4, F.lit(1)))) / F.least(F.lit(5), n)).alias("trend"))
+    line = S.bound(S.bound(S.smoothed(v, alpha), trend), lambda x: _steps(steps, lambda i: x["last"] + x["trend"] * i))
+    return F.when(n > 0, line).otherwise(F.array_repeat(F.lit(0.0), steps))
 
 
 def endpoints(v: Column, steps: int) -> Column:
@@ -50,7 +55,7 @@ def endpoints(v: Column, steps: int) -> Column:
 
 def naive_trend(v: Column, steps: int) -> Column:
     """Last value plus the slope a step (may fall below 0)."""
-    return F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: F.coalesce(S.last(v), F.lit(0.0)) + S.slope(v) * i)
+    return S.bound(S.slope(v), lambda b: F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: F.coalesce(S.last(v), F.lit(0.0)) + b * i))
 
 
 def croston(v: Column, steps: int, alpha: float = 0.1, correction: float = 1.0) -> Column:
@@ -74,11 +79,16 @@ def ridge_line(v: Column, alpha: float = 1.0) -> tuple[Column, Column]:
     return slope, S.mean(v) - slope * (n - 1) / 2
 
 
-def ridge_steps(v: Column, steps: int) -> Column:
+def _ridge(v: Column) -> Column:
     slope, start = ridge_line(v)
+    return F.struct(start.alias("start"), slope.alias("slope"))
+
+
+def ridge_steps(v: Column, steps: int) -> Column:
     n = S.size(v)
     one = F.coalesce(F.try_element_at(v, F.lit(1)), F.lit(0.0))
-    return F.when(n > 1, _steps(steps, lambda i: start + slope * (n - 1 + i))).otherwise(F.array_repeat(one, steps))
+    line = S.bound(_ridge(v), lambda x: _steps(steps, lambda i: x["start"] + x["slope"] * (n - 1 + i)))
+    return F.when(n > 1, line).otherwise(F.array_repeat(one, steps))
 
 
 MODELS: dict[str, Callable[[Column, int], Column]] = {"linear_regression": linear, "moving_average": moving_average, "exponential_smoothing": exponential, "heuristic": endpoints, "croston": croston, "sba": sba, "ridge": ridge_steps}
@@ -100,15 +110,15 @@ def deviation(model: str, v: Column) -> Column:
     """What a model's interval is wide by at the first step: the spread of its residuals, of demands for the intermittent ones."""
     n = S.size(v)
     if model == "linear_regression":
-        return _rms(_against(v, lambda i: S.intercept(v) + S.slope(v) * i), n - 2)
+        return S.bound(_line(v), lambda x: _rms(_against(v, lambda i: x["start"] + x["slope"] * i), n - 2))
     if model == "ridge":
-        slope, start = ridge_line(v)
-        return F.when(n > 1, _rms(_against(v, lambda i: F.greatest(F.lit(0.0), start + slope * i)), n - 2)).otherwise(0.0)
+        wide = S.bound(_ridge(v), lambda x: _rms(_against(v, lambda i: F.greatest(F.lit(0.0), x["start"] + x["slope"] * i)), n - 2))
+        return F.when(n > 1, wide).otherwise(0.0)
     if model == "exponential_smoothing":
         s = S.smoothed(v, 0.3)
         return _rms(F.zip_with(v, s, lambda a, b: a - b), n)
     if model == "heuristic":
-        return _rms(_against(v, lambda i: S.mean(v)), n)
+        return S.bound(S.mean(v), lambda m: _rms(_against(v, lambda i: m), n))
     if model == "moving_average":
         w = F.slice(v, -3, 3)
         return F.sqrt(S.squares(w, S.mean(w))) / 3
@@ -121,7 +131,7 @@ def intervals(model: str, v: Column, steps: int) -> Column:
     """array<struct<low, high>> of each step: WIDTH deviations times the root of the step, not below 0. Of a moving average
     over fewer than three values, a fifth on either side; of one value's regressions, the value."""
     p, wide = MODELS["croston" if model == "sba" else model](v, steps), deviation(model, v) * WIDTH
-    out = F.transform(p, lambda x, i: F.struct(F.greatest(F.lit(0.0), x - wide * F.sqrt(i + 1.0)).alias("low"), (x + wide * F.sqrt(i + 1.0)).alias("high")))
+    out = S.bound(wide, lambda w: F.transform(p, lambda x, i: F.struct(F.greatest(F.lit(0.0), x - w * F.sqrt(i + 1.0)).alias("low"), (x + w * F.sqrt(i + 1.0)).alias("high"))))
     share = lambda d: F.transform(p, lambda x: F.struct((x * (1 - d)).alias("low"), (x * (1 + d)).alias("high")))
     if model == "moving_average":
         return F.when(S.size(v) >= 3, out).otherwise(share(0.2))

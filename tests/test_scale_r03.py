@@ -62,3 +62,13 @@ def test_days_are_summed_exactly(spark, tmp_path):
     assert composite(spark, str(tmp_path)).agg(F.max("value")).first()[0] == 0.3
     one = spark.sql("select array(1d, 2d, 4d) as v, array(1d, 2d, 2d, 1d) as w").select(S.co_moment(F.col("v")), S.co_moment(F.col("w"))).first()
     assert one[0] == 3.0 and abs(one[1]) < 1e-12
+
+
+def test_forecasts_compute_a_line_once(spark):
+    """A slope inside a lambda was computed anew for each value of the series."""
+    from pyspark.sql import functions as F
+
+    from marketspark.operators import forecast as M
+
+    plan = spark.sql("select array(1d, 2d) as v").select(M.intervals("linear_regression", F.col("v"), 7))._jdf.queryExecution().analyzed().toString()
+    assert len(plan) < 20_000
