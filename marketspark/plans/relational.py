@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from marketspark.operators import graph as G
 from marketspark.operators import relational as R
 from marketspark.operators.matching import contained
 from marketspark.operators.selection import at_ranks, quantiles
@@ -16,10 +17,6 @@ def _round(c, n=4):
     return F.round(c, n)
 
 
-#: Competitors whose brand masks are broadcast, at most; beyond, pairs meet by brand.
-MASKS = 20_000
-
-
 @query("summary_multi_left_join", """
 SELECT c.competitor_id, c.name, COALESCE(s.n, 0) AS services, COALESCE(p.n, 0) AS prices, COALESCE(p.d, 0) AS price_days, COALESCE(q.n, 0) AS categories
 FROM competitors c LEFT JOIN (SELECT competitor_id, count(*) n, 0 FROM services GROUP BY 1) s USING (competitor_id)
@@ -149,19 +146,7 @@ FROM s x JOIN s y ON x.brand = y.brand AND x.competitor_id < y.competitor_id GRO
 def _(spark, d):
     s = services(spark, d).select("competitor_id", "brand").distinct()
     shared = F.least(F.col("shared") / 5.0, F.lit(1.0)).alias("strength")
-    if s.select("competitor_id").distinct().count() > MASKS:
-        a, b = s.select("brand", F.col("competitor_id").alias("a")), s.select("brand", F.col("competitor_id").alias("b"))
-        return a.join(b, "brand").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).select("a", "b", "shared", shared)
-    # A row a pair, not one a pair and brand: brands are bits, and a pair's common ones are counted.
-    ids = s.select("brand").distinct().withColumn("i", F.row_number().over(Window.orderBy("brand")) - 1)
-    words = -(-ids.count() // 63)
-    bits = s.join(ids, "brand").groupBy("competitor_id", F.expr("i div 63").cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(i % 63 as int)))").alias("x"))
-    m = bits.groupBy("competitor_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "x"))).alias("m"))
-    m = m.select("competitor_id", F.transform(F.sequence(F.lit(0), F.lit(max(0, words - 1))), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long"))).alias("x"))
-    a, b = (m.select(F.col("competitor_id").alias(k), F.col("x").alias(f"x{k}")) for k in "ab")
-    n = F.aggregate(F.zip_with("xa", "xb", lambda p, q: F.bit_count(p.bitwiseAND(q)).cast("long")), F.lit(0).cast("long"), lambda t, v: t + v)
-    pairs = a.join(F.broadcast(b), F.col("a") < F.col("b"))  # MASKS rows at most
-    return pairs.select("a", "b", n.alias("shared")).where("shared > 0").select("a", "b", "shared", shared)
+    return G.sharing(s.select(F.col("competitor_id").alias("member"), F.col("brand").alias("grp"))).select("a", "b", "shared", shared)
 
 
 @query("period_over_period", """

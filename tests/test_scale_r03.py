@@ -72,3 +72,21 @@ def test_forecasts_compute_a_line_once(spark):
 
     plan = spark.sql("select array(1d, 2d) as v").select(M.intervals("linear_regression", F.col("v"), 7))._jdf.queryExecution().analyzed().toString()
     assert len(plan) < 20_000
+
+
+def test_pairs_that_share_groups_are_not_shuffled(spark):
+    """Before, a row a pair and group was shuffled beyond 20,000 members, and pairs once more against the linked ones."""
+    from itertools import combinations
+
+    from marketspark.operators import graph as G
+
+    groups = {k: {g for g in range(130) if (k * 7 + g * g) % 11 == 0 or g == k} for k in range(60)}
+    groups[60] = {500}
+    members = spark.createDataFrame([(k, str(g)) for k, gs in groups.items() for g in gs], "member long, grp string")
+    links = [(1, 2), (3, 40), (12, 23)]
+    want = {(a, b): len(groups[a] & groups[b]) for a, b in combinations(groups, 2) if groups[a] & groups[b]}
+    assert {(r.a, r.b): r.shared for r in G.sharing(members).collect()} == want
+    df = G.sharing(members, spark.createDataFrame(links, "src long, dst long"))
+    assert {(r.a, r.b): r.shared for r in df.collect()} == {p: n for p, n in want.items() if p not in links}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
