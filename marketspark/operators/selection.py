@@ -26,26 +26,23 @@ def at_ranks(rows: DataFrame, keys: list[str], value: str, ranks: Callable[[Colu
     in_range = F.filter(F.array_distinct(wanted), lambda r: r.between(1, F.col("n")))
     # A cell is a range of a key's values that holds wanted ranks; `before` rows of the key are below it.
     cells = facts.select(*keys, F.col("low").alias("_lo"), F.col("high").alias("_hi"), F.lit(0).cast("bigint").alias("_before"), F.col("n").alias("_n"), in_range.alias("_ranks")).where(F.size("_ranks") > 0)
-    found, small = [], []
-    while True:
-        found.append(cells.where("_lo = _hi").select(*keys, F.explode("_ranks").alias("rank"), F.col("_lo").alias("at")))
-        wide = cells.where("_lo < _hi")
-        inside = base.join(wide, keys).where("_v between _lo and _hi")
+    # Keys of few rows are sorted as they are, others counted by range first.
+    one = lambda c: c.where("_lo = _hi").select(*keys, F.explode("_ranks").alias("rank"), F.col("_lo").alias("at"))
+    few, many = (F.col("_lo") < F.col("_hi")) & (F.col("_n") <= SORTED), (F.col("_lo") < F.col("_hi")) & (F.col("_n") > SORTED)
+    found, small, cells = [one(cells)], [cells.where(few)], cells.where(many)
+    while not cells.isEmpty():
+        inside = base.join(cells.drop("_n"), keys).where("_v between _lo and _hi")
         share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
         bucket = F.least(F.lit(RANGES - 1), F.floor(share * RANGES)).cast("int")
         counted = inside.groupBy(*keys, "_lo", "_before", "_ranks", bucket.alias("_b")).agg(F.count("*").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_z"))
         below = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, "_lo").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_before")
         next_ = counted.select(*keys, F.col("_a").alias("_lo"), F.col("_z").alias("_hi"), below.alias("_before"), "_n", "_ranks")
         held = F.filter("_ranks", lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_n")))
-        cells = cut(next_.withColumn("_ranks", held).where(F.size("_ranks") > 0))
-        small.append(cells.where((F.col("_lo") < F.col("_hi")) & (F.col("_n") <= SORTED)))
-        cells_left = cells.where((F.col("_lo") == F.col("_hi")) | (F.col("_n") > SORTED))
-        if cells_left.where("_lo < _hi").isEmpty():
-            found.append(cells_left.select(*keys, F.explode("_ranks").alias("rank"), F.col("_lo").alias("at")))
-            break
-        cells = cells_left
-    few = reduce(DataFrame.unionByName, small)
-    placed = base.join(few, keys).where("_v between _lo and _hi").withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "_lo").orderBy("_v")) + F.col("_before"))
+        next_ = cut(next_.withColumn("_ranks", held).where(F.size("_ranks") > 0))
+        found.append(one(next_))
+        small.append(next_.where(few))
+        cells = next_.where(many)
+    placed = base.join(reduce(DataFrame.unionByName, [c.select(*cells.columns) for c in small]), keys).where("_v between _lo and _hi").withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "_lo").orderBy("_v")) + F.col("_before"))
     found.append(placed.where(F.array_contains("_ranks", F.col("rank").cast("bigint"))).select(*keys, F.col("rank").cast("bigint").alias("rank"), F.col("_v").alias("at")))
     by_rank = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "at"))).alias("_m"))
     return facts.join(by_rank, keys, "left").select(*keys, "n", "low", "high", "mean", F.transform(wanted, lambda r: F.try_element_at("_m", r)).alias("at"))

@@ -90,3 +90,15 @@ def test_pairs_that_share_groups_are_not_shuffled(spark):
     assert {(r.a, r.b): r.shared for r in df.collect()} == {p: n for p, n in want.items() if p not in links}
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@data
+def test_keys_of_few_rows_are_not_counted_by_range(spark, monkeypatch):
+    """Before, every row of every key went through a count by range and a checkpoint, a group a row."""
+    from marketspark.operators import selection
+
+    kept = []
+    monkeypatch.setattr(selection, "cut", lambda df: kept.append(df.columns) or df)
+    rows = spark.range(2000).selectExpr("id % 100 as k", "cast(id * 7 % 31 as double) as v")
+    assert selection.quantiles(rows, ["k"], "v", 0.5).count() == 100
+    assert len(kept) == 1
