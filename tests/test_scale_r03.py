@@ -102,3 +102,23 @@ def test_keys_of_few_rows_are_not_counted_by_range(spark, monkeypatch):
     rows = spark.range(2000).selectExpr("id % 100 as k", "cast(id * 7 % 31 as double) as v")
     assert selection.quantiles(rows, ["k"], "v", 0.5).count() == 100
     assert len(kept) == 1
+
+
+def test_links_are_arrays_that_no_pair_row_makes(spark, monkeypatch):
+    """Before, a row a pair and service was shuffled, and every round of influence shuffled all edges again."""
+    from itertools import combinations
+
+    from marketspark.operators import graph as G
+
+    groups = {0: range(300), 5: range(250, 260), 9000: [7, 400, 3], 9001: [3, 7], -4: [500], 9002: range(255, 257)}
+    members = spark.createDataFrame([(m, g) for g, ms in groups.items() for m in ms], "member long, grp long")
+    want = {p for ms in groups.values() for p in combinations(sorted(ms), 2)}
+    rows = G.linked(members).collect()
+    got = [(r.src, x) for r in rows for x in r.dsts]
+    assert set(got) == want and len(got) == len(want) and len({r.src for r in rows}) == len(rows)
+    cut, kept = G.cut, []
+    monkeypatch.setattr(G, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    scores = {r.node: r.score for r in G.influence(G.linked(members)).collect()}
+    assert kept[0].count() == len(rows) < len(want)
+    pairs = spark.createDataFrame(sorted(want), "src long, dst long")
+    assert {r.node: round(r.score, 12) for r in G.influence(pairs).collect()} == {k: round(v, 12) for k, v in scores.items()}
