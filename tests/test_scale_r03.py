@@ -122,3 +122,25 @@ def test_links_are_arrays_that_no_pair_row_makes(spark, monkeypatch):
     assert kept[0].count() == len(rows) < len(want)
     pairs = spark.createDataFrame(sorted(want), "src long, dst long")
     assert {r.node: round(r.score, 12) for r in G.influence(pairs).collect()} == {k: round(v, 12) for k, v in scores.items()}
+
+
+def test_alike_pairs_are_not_shuffled(spark):
+    """Before, every candidate pair went with both its token sets through an exchange that dropped repeated ones; copies of a name
+    were candidates one by one."""
+    from itertools import combinations
+
+    from marketspark.operators import matching as M
+
+    sets = {f"c{k:03}": {"x", "y", "z"} for k in range(150)} | {f"n{k}": {"x", "y", "z", f"w{k % 3}"} for k in range(9)} | {"one": {"x"}, "lone": {"q"}, "far": {"w0", "w1", "v"}}
+    rows = spark.createDataFrame([(n, sorted(t)) for n, t in sets.items()], "name string, tokens array<string>")
+    df = M.alike(rows, [], 0.55)
+    assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+    def like(a, b):
+        n = len(a & b)
+        return max(n / len(a | b), 0.9 * n / len(a)) if n >= 0.8 * len(a) and len(a) != len(b) else n / len(a | b)
+
+    order = sorted(sets, key=lambda n: (len(sets[n]), n))
+    want = {(a, b): round(s, 9) for a, b in combinations(order, 2) if (s := like(sets[a], sets[b])) >= 0.55}
+    got = df.collect()
+    assert {(r.a, r.b): round(r.similarity, 9) for r in got} == want and len(got) == len(want)
