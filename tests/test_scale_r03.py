@@ -144,3 +144,18 @@ def test_alike_pairs_are_not_shuffled(spark):
     want = {(a, b): round(s, 9) for a, b in combinations(order, 2) if (s := like(sets[a], sets[b])) >= 0.55}
     got = df.collect()
     assert {(r.a, r.b): round(r.similarity, 9) for r in got} == want and len(got) == len(want)
+
+
+def test_relations_match_different_texts_once(spark, monkeypatch):
+    """Before, each page's texts were cut into grams and matched by themselves, however many pages had the same ones."""
+    from marketspark.operators import matching as M
+
+    plain, seen = M.contained, []
+    monkeypatch.setattr(M, "contained", lambda texts, names, keys: (seen.append(texts.distinct().count() + names.distinct().count()), plain(texts, names, keys))[1])
+    page = [("service", "Red Bolt", "Red Bolt x"), ("service", "bolt", "bolt"), ("pricing", "red bolt", "red bolt"), ("offer", "o", "Save on RED BOLT"), ("plan", "P", "P"), ("plan_feature", "P", "gear plus"), ("feature", "gear", "gear"), ("plan_feature", "", ""), ("feature", "", "")]
+    rows = lambda n: [(k, *e) for k in range(n) for e in page] + [(-1, "offer", "o", "Save on red bolt"), (-1, "service", "gear", None)]
+    want = {("service", "Red Bolt", "pricing", "red bolt", "has_price", 0.6), ("service", "Red Bolt", "offer", "o", "has_offer", 0.7), ("service", "bolt", "offer", "o", "has_offer", 0.7), ("plan", "P", "feature", "gear", "has_feature", 0.55), ("plan", "", "feature", "", "has_feature", 0.95)}
+    for n in (2, 20):
+        got = M.relations(spark.createDataFrame(rows(n), "k int, kind string, name string, text string"), ["k"]).collect()
+        assert len(got) == n * len(want) and {tuple(r) for r in got} == {(k, *w) for k in range(n) for w in want}
+    assert seen[: len(seen) // 2] == seen[len(seen) // 2 :] and seen
