@@ -862,3 +862,8 @@ def test_checkpoint_folder_unset(tmp_path):
     code = "from pyspark.sql import SparkSession\ns = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\nassert not s.conf.get('spark.checkpoint.dir', None)\nfrom marketspark.llm.common import discard, stored\nt = stored(s.range(3))\nassert t.count() == 3\nfolder = t.inputFiles()[0].rsplit('/', 1)[0].removeprefix('file:').replace('//', '')\nimport os\nassert os.path.isdir(folder)\ndiscard(t)\nassert not os.path.isdir(folder)\n"
     r = subprocess.run([sys.executable, "-c", code], cwd=root, env={**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root}, capture_output=True, text=True, timeout=120)
     assert r.returncode == 0, r.stderr[-2000:]
+
+
+def test_media_tables_do_not_follow_the_size():
+    """Before, inputs of more than 16 M descriptors were keyed by other tables, so that other pairs met."""
+    assert len({media.tables(n) for n in (0, 1 << 20, 1 << 24, (1 << 24) + 1, 1 << 30)}) == 1
