@@ -8,12 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.functions.urls import canonical_link, social_handle
+from marketspark.functions.urls import normalize_url, social_handle
 from marketspark.operators import dom
 from marketspark.operators.dom import attr, classed, nearest
 from marketspark.operators.graph import cut
 from marketspark.plans.registry import QUERIES, query
-from marketspark.sources.tables import change_events, competitors, services
+from marketspark.sources.tables import change_events, competitors, offered, services, table
 
 K = "competitor_id"
 _SERVED = "served AS (SELECT competitor_id, service_id, service_name, category, brand, price FROM services)"
@@ -24,10 +24,11 @@ _KINDS = "kinds AS (SELECT competitor_id, kind, count(*) AS n, 1 + count(*) % 5
 def catalog_pages(spark, d) -> DataFrame:
     """competitor_id, html: head with metadata and JSON-LD, breadcrumbs, a price table of all services, brand cards, lists, a
     form, questions, team, reviews in microdata, an address, links to profiles, documents and pictures."""
-    c, s = competitors(spark, d), services(spark, d).repartition(K)  # once for brands and for pages
-    line = F.concat(F.lit("<tr><td>"), "service_name", F.lit("<td>$"), F.format_string("%.2f", "price"), F.lit("<td>"), "category", F.lit("</tr>"))
+    line = F.concat(F.lit("<tr><td>"), "p_name", F.lit("<td>$"), F.format_string("%.2f", "p_retailprice"), F.lit("<td>"), "p_type", F.lit("</tr>"))  # once a part
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("service_id"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"), line.alias("line"))
+    c, s = competitors(spark, d), offered(spark, d).join(part, "service_id").repartition(K)  # once for brands and for pages
     card = F.concat(F.lit('<div class="card"><h3>'), "brand", F.lit('</h3><p class="price">$'), F.format_string("%.2f", "low"), F.lit("</p><p>"), "n", F.lit(" services</p></div>"))
-    b = s.groupBy(K, "brand").agg(F.count("*").alias("n"), F.min("price").alias("low"), F.collect_list(F.struct("service_id", line.alias("h"))).alias("lines"))
+    b = s.groupBy(K, "brand").agg(F.count("*").alias("n"), F.min("price").alias("low"), F.collect_list(F.struct("service_id", F.col("line").alias("h"))).alias("lines"))
     rows = F.array_join(F.sort_array(F.flatten(F.collect_list("lines")))["h"], "").alias("rows")
     cards = b.groupBy(K).agg(rows, F.array_join(F.sort_array(F.collect_list(card)), "").alias("cards"), F.sort_array(F.collect_list(F.concat(F.lit("<option>"), "brand", F.lit("</option>")))).alias("options"), F.sum("n").alias("n"))
     seen = change_events(spark, d).groupBy(K, "kind").agg(F.count("*").alias("n"))
@@ -248,10 +249,13 @@ def _(spark, d):
 
 @query("extraction_metadata", "SELECT competitor_id, name AS site, 'From ' || nation AS description, 'https://s' || competitor_id || '.example.com' AS canonical FROM competitors", "competitors")
 def _(spark, d):
-    m = page_nodes(spark, d, "meta").where("tag = 'meta'")
+    n = page_nodes(spark, d, "meta", "link").where("tag in ('meta', 'link')")
     name = F.coalesce(attr("property"), attr("name"))
-    m = m.groupBy(K).agg(F.max(F.when(name == "og:site_name", attr("content"))).alias("site"), F.max(F.when(name == "description", attr("content"))).alias("description"))
-    return m.join(catalog_pages(spark, d).select(K, canonical_link(F.col("html")).alias("canonical")), K)
+    first = lambda found, value: F.min_by(attr(value), F.when(found & attr(value).isNotNull(), F.col("node")))
+    own = F.coalesce(first((F.col("tag") == "link") & (attr("rel") == "canonical"), "href"), first(name == "og:url", "content"))
+    said = lambda x: F.max(F.when(name == x, attr("content")))
+    m = n.groupBy(K).agg(said("og:site_name").alias("site"), said("description").alias("description"), own.alias("own"))
+    return m.select(K, "site", "description", normalize_url(F.col("own")).alias("canonical"))
 
 
 def candidates(spark, d) -> DataFrame:

@@ -36,10 +36,14 @@ def pricing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def offered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """competitor_id, service_id: each pair once."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("competitor_id"), F.col("l_partkey").alias("service_id")).distinct()
+
+
 def services(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    offered = line.select("l_suppkey", "l_partkey").distinct()
-    return offered.join(part, offered.l_partkey == part.p_partkey).select(F.col("l_suppkey").alias("competitor_id"), F.col("l_partkey").alias("service_id"), F.col("p_name").alias("service_name"), F.col("p_type").alias("category"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"))
+    pairs, part = offered(spark, sf_dir), table(spark, sf_dir, "part")
+    return pairs.join(part, pairs.service_id == part.p_partkey).select("competitor_id", "service_id", F.col("p_name").alias("service_name"), F.col("p_type").alias("category"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"))
 
 
 def collection_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
