@@ -83,23 +83,31 @@ def _(spark, d):
     return microdata_of(page_nodes(spark, d, attrs=("itemtype", "itemprop"), once=True))
 
 
-def table_cells(n: DataFrame) -> DataFrame:
-    """key, tbl, line, place, text, is_head of table cells; place counts from 0 within the row."""
-    from pyspark.sql import Window
+def services_of(t: DataFrame) -> DataFrame:
+    """key, service, category, price of each line of tables (dom.tables) that has a cell under a head; columns are told by their
+    heads' words, the first that the line has counts."""
+    role = lambda x: F.when(F.lower(x).rlike("price|cost|rate"), "price").when(F.lower(x).rlike("service|name|item"), "service").when(F.lower(x).rlike("category|type"), "category")
+
+    def places(name: str | None):
+        """Places with a head, of this role if one is named."""
+        ok = lambda x: F.lit(True) if name is None else role(x) == name
+        return F.filter(F.sequence(F.lit(0), F.size("heads") - 1), lambda p: F.exists(F.get("heads", p), ok))
+
+    def at_first(name: str):
+        return F.get("cells", F.get(f"_{name}", F.lit(0)))
+
+    def said(name: str):
+        return F.coalesce(at_first(name), F.try_element_at(F.filter(F.transform(f"_{name}", lambda p: F.get("cells", p)), F.isnotnull), F.lit(1)))
 
-    cells = n.where(F.col("tag").isin("td", "th")).withColumn("tbl", nearest("table")).withColumn("line", nearest("tr"))
-    return cells.withColumn("place", F.row_number().over(Window.partitionBy(K, "line").orderBy("node")) - 1).select(K, "tbl", "line", "place", "text", (F.col("tag") == "th").alias("is_head"))
+    lines = t.select(K, places(None).alias("_any"), *[places(r).alias(f"_{r}") for r in ("service", "price", "category")], "lines").select("*", F.explode("lines").alias("cells")).drop("lines")
+    lines = lines.where(at_first("any").isNotNull() | F.exists("_any", lambda p: F.get("cells", p).isNotNull()))
+    return lines.select(K, said("service").alias("service"), said("category").alias("category"), F.regexp_replace(said("price"), "[^0-9.]", "").try_cast("double").alias("price"))
 
 
 @query("extraction_tables", f"WITH {_SERVED} SELECT competitor_id, service_name AS service, category, round(price, 2) AS price FROM served", "services")
 def _(spark, d):
     """Columns are told by their header's words, rows become services."""
-    cells = table_cells(page_nodes(spark, d, "td", "th"))
-    word = F.lower("text")
-    role = F.when(word.rlike("price|cost|rate"), "price").when(word.rlike("service|name|item"), "service").when(word.rlike("category|type"), "category")
-    heads = cells.where("is_head").select(K, "tbl", "place", role.alias("role"))
-    wide = cells.where("not is_head").join(heads, [K, "tbl", "place"]).groupBy(K, "line").pivot("role", ["service", "price", "category"]).agg(F.first("text"))
-    return wide.select(K, "service", "category", F.regexp_replace("price", "[^0-9.]", "").cast("double").alias("price"))
+    return services_of(dom.tables(catalog_pages(spark, d), K))
 
 
 def forms_of(n: DataFrame) -> DataFrame:

@@ -55,6 +55,32 @@ def test_table_rows_are_passed_at_once():
     assert starts == ["h2", "table", "h2"] and [r[0] for r in p.rows if r] == [0, 1, 2002]
 
 
+def test_lines_of_tables_are_read_with_their_heads(spark):
+    """Bare rows and others, heads in several rows and within lines, cells that are missing, tables in tables, text after cells."""
+    from marketspark.plans.extraction import services_of
+
+    head = "<tr><th>Service<th>Price<th>Category</tr>"
+    pages = [
+        (1, f"<table>{head}<tr><td> a  b <td>$1.50<td>c</tr><tr><td>d</td> <td>$2</td></tr></table>"),
+        (2, f"<table>{head}<tr><td>e &amp; f<td><b>$3</b> net<td>g</tr><tr><td>h<td><table><tr><th>Item</tr><tr><td>in</tr></table><td>i</tr></table>"),
+        (3, "<table><tr><td>no heads</tr></table><p><tr><td>no table</tr>"),
+        (4, "<table><tr><th>Name<th>Note<th>Type</tr><tr><th>Old name<th>Cost</tr><tr><td>j<td>4<td>k</tr><tr><th>l<td>5</tr></table>"),
+        (5, f"<script>{head}</script><table>{head}<tr class='x'><td>m<td>6<td>n</tr><tr><td>o</th>p<td>7<td>q</tr><!-- c --></table>"),
+        (6, None),
+    ]
+    df = spark.createDataFrame(pages, "competitor_id long, html string")
+    got = sorted(map(tuple, services_of(dom.tables(df, "competitor_id")).collect()), key=repr)
+    want = [(1, "a b", "c", 1.5), (1, "d", None, 2.0), (2, "e & f", "g", 3.0), (2, "h", "i", None), (2, "in", None, None), (4, "j", "k", 4.0), (4, None, None, 5.0), (5, "m", "n", 6.0), (5, "op", "q", 7.0)]
+    assert got == sorted(want, key=repr)
+
+
+@data
+def test_tables_need_no_shuffle_of_cells(spark):
+    """Before, each cell was a row that a window, a join and a grouping dealt out by page."""
+    plan = QUERIES["extraction_tables"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and not any(x in plan[: plan.index("MapInArrow")] for x in ("Aggregate", "Join", "Repartition"))
+
+
 @data
 def test_metadata_writes_pages_once(spark):
     """Before, the canonical address was read from pages written a second time."""
