@@ -208,11 +208,11 @@ def blocks(t: DataFrame, key: str) -> DataFrame:
 def page_segments(t: DataFrame, key: str) -> DataFrame:
     """key, node, tag, type, confidence, heading, text: the typed segments of each page in order.
 
-    Candidates are landmarks wherever they stand, and sections, articles and divs with 20 characters of text that are
-    children of the body or of the first main. Those that stand in another candidate are left out, but for landmarks. A page
+    Candidates are landmarks wherever they stand, and sections, articles and divs with 20 characters of text, spaces between
+    its pieces counted, that are children of the body or of the first main. Those that stand in another candidate are left out, but for landmarks. A page
     without candidates is one unknown segment, its body."""
     b = _in_body(t, key)
-    sized = b.where("tag = '#text'").select(key, F.explode("up").alias("node"), F.length("text").alias("n")).groupBy(key, "node").agg(F.sum("n").alias("size"))
+    sized = b.where("tag = '#text'").select(key, F.explode("up").alias("node"), F.length("text").alias("n")).groupBy(key, "node").agg((F.sum(F.col("n") + 1) - 1).alias("size"))
     main = b.where("tag = 'main'").groupBy(key).agg(F.min("node").alias("main"))
     tag = F.col("tag")
     el = b.where(tag.isin(*BOUNDARIES, "div")).join(sized, [key, "node"], "left").join(main, key, "left")
