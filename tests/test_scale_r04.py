@@ -22,3 +22,21 @@ def test_a_tag_that_the_end_of_a_page_cuts_off_is_no_text(spark, end):
     """Before, it stood in the page's last text."""
     rows = dom.tree(spark.createDataFrame([(1, f"<body><p>a</p><footer>c{end}")], "page_id long, html string")).where("tag = '#text'").orderBy("node").collect()
     assert [r.text for r in rows] == ["a", "c"]
+
+
+def test_classes_do_not_depend_on_which_pairs_a_large_key_lists_first(spark):
+    """Before, of a key of more than 16 images each was compared with the smallest and four others; other pairs were left out."""
+    media = pytest.importorskip("marketspark.llm.media")
+    like = {(3, 17), (4, 18), (18, 19), (30, 31)}
+    asked = []
+
+    def compared(pairs):
+        asked.append({(r.u, r.v) for r in pairs.collect()})
+        return spark.createDataFrame(sorted(asked[-1] & like), "u long, v long")
+
+    listed = spark.createDataFrame([(1, k, 0, 2) for k in range(2, 20)] + [(30, 31, 1, 0)], "u long, v long, votes long, hot long")
+    holders = spark.createDataFrame([(key, k) for key in (7, 8) for k in range(1, 20)] + [(9, 30), (9, 31), (9, 32)], "key long, node long")
+    got = {(r.node, r.root) for r in media.settled(listed, holders, compared).collect()}
+    assert {(n, r) for n, r in got} == {(3, 3), (17, 3), (4, 4), (18, 4), (19, 4), (30, 30), (31, 30)}
+    every = [p for some in asked for p in some]
+    assert len(every) == len(set(every)) and like <= set(every) and (5, 6) in every
