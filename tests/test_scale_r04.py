@@ -40,3 +40,40 @@ def test_classes_do_not_depend_on_which_pairs_a_large_key_lists_first(spark):
     assert {(n, r) for n, r in got} == {(3, 3), (17, 3), (4, 4), (18, 4), (19, 4), (30, 30), (31, 30)}
     every = [p for some in asked for p in some]
     assert len(every) == len(set(every)) and like <= set(every) and (5, 6) in every
+
+
+def test_members_of_the_same_groups_are_met_as_one(spark):
+    """Before, groups in common were counted pair by pair, whether or not members were in the same groups."""
+    from itertools import combinations
+
+    from marketspark.operators import graph as G
+
+    groups = {k: {1, 2, 3} if k < 700 else {k % 3, 3} for k in range(720)} | {720: {9}}
+    members = spark.createDataFrame([(k, g) for k, gs in groups.items() for g in gs], "member long, grp long")
+    links = [(1, [2, 699]), (699, [700])]
+    df = G.sharing(members, spark.createDataFrame(links, "src long, dsts array<long>"))
+    want = {(a, b): len(groups[a] & groups[b]) for a, b in combinations(groups, 2) if groups[a] & groups[b]}
+    assert {(r.a, r.b): r.shared for r in df.collect()} == {p: n for p, n in want.items() if p not in {(s, x) for s, xs in links for x in xs}}
+    plan = G.sharing(members)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(_b") < plan.index("Join")  # members are told apart after units have met
+
+
+def test_links_are_marked_in_tables(spark, monkeypatch):
+    """Before, a row a member and group went through a sort; repeated rows of members were listed by pairs."""
+    from itertools import combinations
+
+    import numpy as np
+
+    from marketspark.operators import graph as G
+
+    groups = {0: range(300), 5: range(250, 260), 70_000: [7, 400, 3], -4: [500, 500, 2]}
+    members = spark.createDataFrame([(m, g) for g, ms in groups.items() for m in ms], "member long, grp long")
+    rows = G.linked(members).collect()
+    got = [(r.src, x) for r in rows for x in r.dsts]
+    want = {p for ms in groups.values() for p in combinations(sorted(set(ms)), 2)}
+    assert set(got) == want and len(got) == len(want)
+    each = [(np.array(sorted(set(ms))), np.array(sorted(set(ms)))) for ms in groups.values()]
+    for most in (1 << 26, 400):  # whole, and in slices of members
+        monkeypatch.setattr(G, "MARKED", most)
+        got = [(a, x) for src, o, dst in G._pairs(each) for k, a in enumerate(src.tolist()) for x in dst[o[k] : o[k + 1]].tolist()]
+        assert set(got) == want and len(got) == len(want)
