@@ -77,3 +77,21 @@ def test_links_are_marked_in_tables(spark, monkeypatch):
         monkeypatch.setattr(G, "MARKED", most)
         got = [(a, x) for src, o, dst in G._pairs(each) for k, a in enumerate(src.tolist()) for x in dst[o[k] : o[k + 1]].tolist()]
         assert set(got) == want and len(got) == len(want)
+
+
+@data
+def test_sites_keep_what_a_query_reads(spark):
+    """Before, the sources of all scripts, most of a site, were dealt and kept for queries that read none of them; JSON-LD met its
+    scripts' types by a join."""
+    from marketspark.operators import structured
+    from marketspark.plans import structured as plans
+
+    t = plans.said_tree(spark, SF)
+    assert t.where("tag = '#script'").isEmpty() and t.where("tag = 'script'").count() > 0
+    html = '<script type="application/ld+json">[{"@type": "Article", "name": "a"}]</script><script>{"@type": "Article", "name": "b"}</script><script type="application/ld+json"></script><p>c'
+    pages = spark.createDataFrame([(1, html), (2, None), (3, html)], "page_id long, html string")
+    some = dom.tree(pages, wanted=lambda tag: tag in ("script", "#script"))
+    every = dom.tree(pages).where("tag in ('script', '#script')")
+    assert sorted(map(repr, some.collect())) == sorted(map(repr, every.collect())) and some.count() == 10
+    found = structured.json_ld(some, "page_id")
+    assert sorted((r.page_id, r.name) for r in found.collect()) == [(1, "a"), (3, "a")]
